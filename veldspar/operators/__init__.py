@@ -1 +1 @@
-
+"""Operators on collections: frames of (id, vector, metadata)."""
