@@ -1,0 +1,182 @@
+"""Sharding, mixing and the pipeline."""
+
+import random
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from veldspar.llm import common, decontaminate, langid, mixing, sharding, simhash
+from veldspar.llm.queries import ORACLE_SQL, QUERIES
+
+# --- sharding --------------------------------------------------------------------------
+
+
+def test_slot_map_edits():
+    rng = random.Random(0)
+    sizes = {s: rng.randint(0, 1000) for s in range(512)}
+    first = sharding.SlotMap.initial(512, 8)
+    second = first.rebalanced(sizes)
+    loads = lambda m: [sum(sizes[s] for s, x in enumerate(m.assigned) if x == i) for i in range(m.shards)]
+    assert second.version == 2 and max(loads(second)) <= 1.02 * sum(sizes.values()) / 8
+    assert sum(a != b for a, b in zip(first.assigned, second.assigned)) < 60
+    more, fewer = second.rebalanced(sizes, 10), second.rebalanced(sizes, 6)
+    assert set(more.assigned) == set(range(10)) and max(loads(more)) <= 1.02 * sum(sizes.values()) / 10
+    assert sum(a != b for a, b in zip(second.assigned, more.assigned)) < 512 * 2 / 10 * 1.5
+    assert set(fewer.assigned) == set(range(6))
+    assert first.rebalanced({}).assigned == first.assigned and first.rebalanced({3: 10**9}).assigned == first.assigned
+
+
+def test_map_versions_are_kept(spark, tmp_path):
+    path, first = str(tmp_path / "map"), sharding.SlotMap.initial(64, 4)
+    second = first.rebalanced({s: s for s in range(64)})
+    first.save(spark, path), second.save(spark, path)
+    assert sharding.SlotMap.load(spark, path) == second and sharding.SlotMap.load(spark, path, 1) == first
+    with pytest.raises(KeyError):
+        sharding.SlotMap.load(spark, path, 3)
+    with pytest.raises(Exception):  # noqa: B017
+        second.save(spark, path)
+
+
+def test_sharded_rows(odd, empty):
+    rows = sharding.sharded(odd)
+    assert rows.columns == [c for c in odd.columns if c not in ("slot", "shard")] + ["slot", "shard", "map_version"]
+    got = rows.select("doc_id", "slot", "shard").collect()
+    assert len(got) == odd.count() and {r.slot for r in got if r.doc_id is None} == {0}
+    assert len({r.shard for r in got if r.doc_id == 5}) == 1 and sharding.sharded(empty).count() == 0
+
+
+def test_sharding_sql(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randrange(10**9), "é" * rng.randint(0, 5000)) for _ in range(700)] + [(None, "x"), (3, None), (3, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_virtual_slots"](spark, str(tmp_path))
+    sql = duckdb.sql(ORACLE_SQL["op4_virtual_slots"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    assert sorted(map(str, sql.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+    assert got.where("shard <> slot % 16").count() > 0
+
+
+# --- mixing -------------------------------------------------------------------------------
+
+
+def test_pivots_keep_sums_and_expectations():
+    rng = random.Random(1)
+    units = [(i, rng.randrange(mixing.ONE + 1)) for i in range(40)]
+    total = sum(m for _, m in units)
+    counts = Counter()
+    for seed in range(3000):
+        done, held = mixing.pivot(units, seed)
+        left = held[1] if held else 0
+        assert sum(v for _, v in done) * mixing.ONE + left == total and 0 <= left < mixing.ONE
+        assert len(done) + bool(held) == len(units) and {v for _, v in done} <= {0, 1}
+        counts.update(i for i, v in done if v)
+        if held and mixing.draw(seed + 1, held[0]) < held[1]:
+            counts[held[0]] += 1
+    for i, m in units:
+        assert counts[i] / 3000 == pytest.approx(m / mixing.ONE, abs=0.05)
+
+
+def force_copies(rows, rates, seed, leaves):
+    """Copies by the definition: leaves, then the tree, in plain Python."""
+    out, masses = {}, defaultdict(list)
+    for source, doc, node in rows:
+        mass = rates[source]
+        out[source, doc] = mass >> 32
+        masses[source, node].append((doc, mass & mixing.ONE - 1))
+    order = lambda x: (mixing.draw(seed, x[0]), x[0] is None, x[0] or 0)
+    while True:
+        above = defaultdict(list)
+        for (source, node), units in masses.items():
+            done, held = mixing.pivot(sorted(units, key=order), seed)
+            for doc, v in done:
+                out[source, doc] += v
+            if held:
+                above[source, node // mixing.FAN].append(held)
+        masses = above
+        if leaves == 1:
+            break
+        leaves = -(-leaves // mixing.FAN)
+    for (source, _), units in masses.items():
+        for doc, mass in units:
+            out[source, doc] += mixing.draw(seed + 1, doc) < mass
+    return out
+
+
+@pytest.mark.parametrize("leaf", [mixing.LEAF, 3])
+def test_copies_against_brute_force(odd, monkeypatch, leaf):
+    monkeypatch.setattr(mixing, "LEAF", leaf)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rates = {r.source: r for r in mixing.expected_copies(odd, alpha=0.5).collect()}
+    mass = {s: int(r.rate * mixing.ONE + 0.5) for s, r in rates.items()}
+    ids = odd.select("source", "doc_id").distinct()
+    leaves = max(1, -(-ids.count() // leaf))
+    rows = [(r.source, r.doc_id, r.node) for r in ids.withColumn("node", F.pmod(F.xxhash64("doc_id"), F.lit(leaves))).collect()]
+    got = {(r.source, r.doc_id): r.copies for r in mixing.copies(odd, alpha=0.5).collect()}
+    assert got == force_copies(rows, mass, mixing.SEED, leaves)
+    for source in rates:
+        n = sum(c for (s, _), c in got.items() if s == source)
+        exact = Fraction(mass[source] * sum(s == source for s, _, _ in rows), mixing.ONE)
+        assert abs(n - exact) < 1
+    assert min(got.values()) >= 1 and {r.source: r.copies for r in mixing.copies(odd.repartition(2), alpha=0.5).where("doc_id = 7").collect()}.items() <= {s: c for (s, d), c in got.items() if d == 7}.items()
+
+
+def test_target_weights(odd):
+    rates = {r.source: r for r in mixing.expected_copies(odd, {"s0": 3, "s1": 1}, total_bytes=10_000).collect()}
+    assert rates["s0"].share == 0.75 and rates["s0"].rate * rates["s0"].bytes == pytest.approx(7500) and rates["s2"].rate == 0
+    got = mixing.copies(odd, {"s0": 3, "s1": 1}, total_bytes=10_000)
+    assert got.where("source = 's2' AND copies > 0").count() == 0
+    with pytest.raises(ValueError):
+        mixing.expected_copies(odd, {"s0": -1})
+
+
+def test_mixed_rows(odd, empty):
+    got = mixing.mixed(odd, alpha=0.5)
+    assert got.columns == odd.columns
+    copies = {(r.source, r.doc_id): r.copies for r in mixing.copies(odd, alpha=0.5).collect()}
+    rows = Counter((r.source, r.doc_id) for r in odd.select("source", "doc_id").collect())
+    assert Counter((r.source, r.doc_id) for r in got.select("source", "doc_id").collect()) == {k: n * copies[k] for k, n in rows.items()}
+    assert mixing.mixed(empty).count() == 0 and mixing.copies(empty).count() == 0
+    no_bytes = odd.withColumn("text", F.lit(None).cast("string"))
+    assert mixing.mixed(no_bytes).count() == odd.count()
+
+
+# --- shared tables and the pipeline ----------------------------------------------------------------
+
+
+def test_shared_folder_is_the_sessions(spark):
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_pipeline_against_its_parts(spark, tmp_path, odd):
+    """Each stage's rows against the operator's own decisions, recomputed apart."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "source_mixing", "shard_assignment"]
+    ids = lambda d: Counter(r.doc_id for r in d.select("doc_id").collect())
+    now, steps = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        now = common.materialise(stage(spark, now, sf), name)
+        steps.append(now)
+    language, near, clean, mix, last = steps
+    assert all(s.columns == docs.columns for s in steps[:4]) and last.columns == [*docs.columns, "slot", "shard", "map_version"]
+    model = langid.train(docs)
+    assert ids(language) == Counter(r.doc_id for r in docs.collect() if (s := model.score(r.text))[0] and s[1] >= langid.MIN_MARGIN)
+    groups = defaultdict(list)
+    for r in simhash.near_duplicates(language).collect():
+        groups[r.keep_id].append(r.doc_id)
+    assert ids(language) - ids(near) == Counter(i for k, g in groups.items() for i in g if i != k)
+    items = [common.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaked = set()
+    for r in near.collect():
+        words = common.words_of(r.text)
+        seen = {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+        for item in items:
+            if any(tuple(item[i : i + 4]) in seen for i in range(len(item) - 3)) and sum(n for *_, n in decontaminate.tile(item, words)) >= decontaminate.THRESHOLD * len(item):
+                leaked.add(r.doc_id)
+    assert ids(near) - ids(clean) == Counter(leaked) and leaked
+    assert ids(mix) == Counter({r.doc_id: r.copies for r in mixing.copies(clean).collect()}) and ids(mix).keys() == ids(clean).keys()
+    assert ids(last) == ids(mix) and corpus_pipeline.ORACLE_SQL is None
+    assert ids(corpus_pipeline.run(spark, sf)) == ids(last)

@@ -204,4 +204,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The documents that cover no benchmark item up to the threshold; columns stay, and
     so do rows without id or text."""
     gone = materialise(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_gone")).distinct(), "leaked")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

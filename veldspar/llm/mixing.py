@@ -148,6 +148,6 @@ def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, tota
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, total_bytes: float | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """The mixture: each row of docs as often as its document has copies; columns stay."""
     chosen = materialise(copies(docs, weights, total_bytes, alpha, seed).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("copies").alias("_n")), "copies")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & docs["source"].cast("string").eqNullSafe(F.col("_s"))
-    names = [docs[c] for c in docs.columns]
-    return docs.join(chosen, same).select(*names, F.explode(F.expr("sequence(1, _n)")).alias("_copy")).drop("_copy")
+    same = docs["doc_id"].cast("long").eqNullSafe(chosen["_d"]) & docs["source"].cast("string").eqNullSafe(chosen["_s"])
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    return docs.join(chosen, same).select(row, F.explode(F.sequence(F.lit(1), chosen["_n"]))).select("row.*")

@@ -55,7 +55,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes | None, str | None]:
             headers[name] += " " + line.strip().decode("utf-8", "replace")
             continue
         key, colon, value = line.partition(b":")
-        if not colon or not key or key != key.strip():
+        if not colon or key.split() != [key]:
             return headers, None, "a malformed header"
         name = key.decode("utf-8", "replace").lower()
         headers[name] = value.strip().decode("utf-8", "replace")
@@ -120,8 +120,12 @@ def frames(stream, read: int = READ, limit: int = MAX_RECORD) -> Iterator[tuple[
             if position == 0 and magic == MAGIC_DICTIONARY:
                 body = buffer[8 : 8 + size]
                 try:
-                    raw = zstandard.ZstdDecompressor().decompressobj().decompress(body) if body[:4] == MAGIC_FRAME else body
-                    dictionary = zstandard.ZstdCompressionDict(raw)
+                    if body[:4] == MAGIC_FRAME:
+                        whole = zstandard.ZstdDecompressor().decompressobj()
+                        body = whole.decompress(body)
+                        if not whole.eof:
+                            raise zstandard.ZstdError("its frame is cut off")
+                    dictionary = zstandard.ZstdCompressionDict(body)
                 except zstandard.ZstdError as problem:
                     yield 0, None, f"the dictionary can't be read: {problem}"
                     return
