@@ -16,13 +16,6 @@ from veldspar.sources import exchange
 from veldspar.streaming.ingest import ingest
 
 
-class FiveNumbers:
-    dimensions = 5
-
-    def embed(self, texts):
-        return [[0.1, 0.2, 0.3, 0.4, 0.5] for _ in texts]
-
-
 @pytest.fixture
 def engine(spark, tmp_path):
     return Engine(spark, str(tmp_path / "data"))
@@ -202,6 +195,12 @@ def test_import_errors(engine):
 
 
 def test_texts(spark, tmp_path):
+    class FiveNumbers:
+        dimensions = 5
+
+        def embed(self, texts):
+            return [[0.1, 0.2, 0.3, 0.4, 0.5] for _ in texts]
+
     c = Engine(spark, str(tmp_path), FiveNumbers()).create_collection("t", 5)
     c.upsert([{"id": 1, "text": "one", "metadata": {"k": "v"}}, {"id": 2, "text": "two", "vector": [5, 4, 3, 2, 1]}])
     assert c.get(1).vector == [0.1, 0.2, 0.3, 0.4, 0.5] and c.get(2).vector == [5, 4, 3, 2, 1]
@@ -243,7 +242,7 @@ def test_streaming_ingest(engine, tmp_path):
     source = str(tmp_path / "in")
     schema = "id long, vector array<double>, metadata string"
     for n in range(2):
-        engine.spark.createDataFrame([(n, [1.0, n], "{}"), (9, [n, n + 1.0], None)], schema).coalesce(1).write.mode("append").parquet(source)
+        engine.spark.createDataFrame([(n, [1.0, float(n)], "{}"), (9, [float(n), n + 1.0], None)], schema).coalesce(1).write.mode("append").parquet(source)
     stream = engine.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     ingest(stream, c, str(tmp_path / "cp")).awaitTermination()
     assert ids_of(c) == [0, 1, 9]

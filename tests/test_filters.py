@@ -95,6 +95,7 @@ CASES = [
     ("a == b", {"a": {"k": [1, 2.0]}, "b": {"k": [1.0, 2]}}, True),
     ("s < 'b'", {"s": "a"}, True),
     ("s < 1", {"s": "a"}, False),
+    ("NOT (xs[0] EXISTS)", {}, True),
     ("ANY(xs, q > 100)", {"xs": [{"q": 1}, {"q": 120}]}, True),
     ("ANY(xs, q > 100)", {"xs": [{}, {"q": 120}]}, False),
     ("ANY(xs, q > 100)", {"xs": [{"q": 120}, {}]}, True),
@@ -111,6 +112,7 @@ def test_interpreter_cases():
     for metadata in ODD:
         assert not matches(parse("a == 1 OR a != 1"), metadata)
         assert matches(parse("a DOES NOT EXIST"), metadata) is False
+    assert not matches(parse("NOT (a[0] EXISTS)"), "nope") and matches(parse("NOT (a[0] EXISTS)"), "[1]")
 
 
 def test_compiled_cases(spark):

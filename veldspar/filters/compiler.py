@@ -22,7 +22,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .interpreter import nearest
+from .interpreter import found, nearest, re2_pattern
 from .syntax import Call, ListOf, Literal, Name, Node, Op, Param, Quantified, Star
 
 Flag = Column | bool
@@ -255,23 +255,11 @@ def _member(a: Value, b: Value) -> Flag:
 
 def java_pattern(pattern: str) -> str | None:
     """An RE2 pattern in Java's dialect; None if RE2 has no such pattern."""
-    if re.search(r"\(\?(?:=|!|<=|<!|>)|(?<!\\)(?:\\\\)*\\[1-9k]|[*+?}]\+", pattern):
+    named = re.sub(r"\[:(\^?)(\w+):\]", lambda m: rf"\{'P' if m[1] else 'p'}{{{'XDigit' if m[2] == 'xdigit' else m[2].capitalize()}}}", pattern)
+    java = re2_pattern(named, r"\z", nested=True)
+    if java is None:
         return None
-    pattern = re.sub(r"\[:(\^?)(\w+):\]", lambda m: rf"\{'P' if m[1] else 'p'}{{{'XDigit' if m[2] == 'xdigit' else m[2].capitalize()}}}", pattern)
-    out, at, in_class = [], 0, False
-    multiline = re.search(r"\(\?[a-z]*m", pattern) is not None
-    while at < len(pattern):
-        c = pattern[at]
-        if c == "\\" and at + 1 < len(pattern):
-            out.append(pattern[at : at + 2])
-            at += 2
-            continue
-        if in_class and c in "[&":
-            out.append("\\")  # Java nests and intersects classes; RE2 doesn't
-        in_class = (in_class or c == "[") and c != "]"
-        out.append(r"\z" if c == "$" and not in_class and not multiline else c)
-        at += 1
-    java = "(?d)" + "".join(out)
+    java = "(?d)" + java
     session = SparkSession.getActiveSession()
     try:
         session._jvm.java.util.regex.Pattern.compile(java)
@@ -284,7 +272,7 @@ def _searched(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     out = []
     for text, pattern in zip(texts, patterns):
         try:
-            out.append(None if text is None or pattern is None else re.search(pattern, text, re.ASCII) is not None)
+            out.append(None if text is None or pattern is None else found(pattern, text))
         except re.error:
             out.append(None)
     return pd.Series(out, dtype="object")
@@ -474,6 +462,8 @@ def compile_filter(node: Node, source: VariantSource | NativeSource, quirks: boo
     """A boolean column, for filter(): whether the row passes."""
     error, value = _Compiler(source, quirks)(node)
     passed = _and(value.is_("bool"), _Compiler.bool_of(value), _not(error))
+    if isinstance(source, VariantSource):
+        passed = _and(source.root.column.isNotNull(), passed)  # what isn't JSON passes nothing
     column = F.coalesce(_column(passed), F.lit(False))
     if isinstance(source, NativeSource):
         for predicate in _implied(node, source):
