@@ -144,45 +144,71 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # --- keys, by part ----------------------------------------------------------
 
 
-def band_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of fingerprints (n x _WORDS*8 bytes): all (band << 24 | key), and whose each is."""
-    n = len(fps)
-    bits = np.unpackbits(fps, axis=1)[:, :BITS].reshape(n, SEGMENTS, SEGMENT)
-    segments = bits.astype(np.uint32) @ (1 << np.arange(SEGMENT, dtype=np.uint32))
-    keys, taken = segment_keys(segments)
-    all_keys, owners = [], []
+def segment_at(fps: np.ndarray, segment: int) -> np.ndarray:
+    """One 23-bit segment of fingerprints given as rows of bytes."""
+    first, last = segment * SEGMENT // 8, (segment * SEGMENT + SEGMENT - 1) // 8
+    bits = np.unpackbits(fps[:, first : last + 1], axis=1)[:, segment * SEGMENT - 8 * first :][:, :SEGMENT]
+    return bits.astype(np.uint32) @ (1 << np.arange(SEGMENT, dtype=np.uint32))
+
+
+def buckets(fps: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of fingerprints (rows of bytes): the buckets they are in, and whose each is.
+
+    A bucket is a band, a key of the band's first segment, and the leading ``split``
+    bits of one of the second. The keys of the second segment needn't travel: a bucket
+    has the fingerprints, and they follow from these.
+    """
+    all_buckets, owners = [], []
+    for band in range(BANDS):
+        keys, taken = segment_keys(segment_at(fps, 2 * band))
+        if split:
+            second, also = segment_keys(segment_at(fps, 2 * band + 1))
+            keys = (keys[:, :, None] << split | second[:, None, :] >> (12 - split)).reshape(len(fps), 36)
+            taken = (taken[:, :, None] & also[:, None, :]).reshape(len(fps), 36)
+        owner = np.nonzero(taken)[0]
+        pairs = np.unique(np.stack([owner, keys[taken] | np.uint32(band << 12 + split)], axis=1), axis=0) if split else np.stack([owner, keys[taken] | np.uint32(band << 12)], axis=1)
+        owners.append(pairs[:, 0])
+        all_buckets.append(pairs[:, 1].astype(np.uint32))
+    return np.concatenate(all_buckets), np.concatenate(owners)
+
+
+def full_keys(bucket: np.ndarray, fps: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All (band, first key, second key) that rows of buckets have, and which row has each."""
+    keys, rows = [], []
     for band in range(BANDS):
-        a, b = 2 * band, 2 * band + 1
-        both = (keys[:, a, :, None] << 12 | keys[:, b, None, :]).reshape(n, 36)
-        ok = (taken[:, a, :, None] & taken[:, b, None, :]).reshape(n, 36)
-        all_keys.append(both[ok] | np.uint32(band << 24))
-        owners.append(np.nonzero(ok)[0].astype(np.uint32))
-    return np.concatenate(all_keys), np.concatenate(owners)
+        here = np.flatnonzero(bucket >> 12 + split == band)
+        if not len(here):
+            continue
+        second, taken = segment_keys(segment_at(fps[here], 2 * band + 1))
+        if split:
+            taken = taken & (second >> 12 - split == (bucket[here] & (1 << split) - 1)[:, None])
+        at, which = np.nonzero(taken)
+        keys.append((bucket[here][at].astype(np.uint64) >> np.uint64(split)) << np.uint64(12) | second[at, which].astype(np.uint64))
+        rows.append(here[at])
+    return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 _CHUNK = 4096
 
 
-def _emitter(parts: int):
-    """Rows (part, ids, fps, keys, owners): all keys of one part that a chunk of
-    fingerprints has, packed, with each fingerprint once. The shuffle moves a few
-    large rows instead of over a hundred small ones for each document."""
+def _emitter(parts: int, split: int):
+    """Rows (part, buckets, ids, fps): what a chunk of fingerprints sends to a part, packed,
+    so that the shuffle moves few large rows instead of many small ones."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _CHUNK):
                 piece = batch.slice(at, _CHUNK)
                 ids = np.array(piece.column(0).to_pylist(), np.int64)
-                fps = np.frombuffer(b"".join(piece.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                keys, owners = band_keys(fps)
-                part = (keys * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(parts)
+                fps = np.frombuffer(b"".join(piece.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)[:, :_BYTES]
+                bucket, owner = buckets(fps, split)
+                part = (bucket * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(parts)
                 order = np.argsort(part, kind="stable")
-                keys, owners, part = keys[order], owners[order], part[order]
+                bucket, owner, part = bucket[order], owner[order], part[order]
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 rows: list[tuple] = []
-                for k, o, p in zip(np.split(keys, cuts), np.split(owners, cuts), part[np.r_[0, cuts]] if len(part) else []):
-                    used, local = np.unique(o, return_inverse=True)
-                    rows.append((int(p), ids[used].tobytes(), fps[used].tobytes(), k.tobytes(), local.astype(np.uint16).tobytes()))
+                for b, o, p in zip(np.split(bucket, cuts), np.split(owner, cuts), part[np.r_[0, cuts]] if len(part) else []):
+                    rows.append((int(p), b.tobytes(), ids[o].tobytes(), fps[o].tobytes()))
                     if len(rows) >= 64:
                         yield _packed(rows)
                         rows = []
@@ -192,9 +218,12 @@ def _emitter(parts: int):
     return emit
 
 
+_PACKED = ("part", "buckets", "ids", "fps")
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["part", "ids", "fps", "keys", "owners"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], list(_PACKED))
 
 
 # --- verification within a part ----------------------------------------------
@@ -259,21 +288,15 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = now
 
 
-def _verifier(limit: int):
+def _verifier(limit: int, split: int):
     def verify(table: pa.Table) -> pa.Table:
-        ids, fps, keys, owners, base = [], [], [], [], 0
-        for i, f, k, o in zip(*(table.column(c).to_pylist() for c in ("ids", "fps", "keys", "owners"))):
-            ids.append(np.frombuffer(i, np.int64))
-            fps.append(np.frombuffer(f, np.uint64).reshape(-1, _WORDS))
-            keys.append(np.frombuffer(k, np.uint32))
-            owners.append(np.frombuffer(o, np.uint16).astype(np.int64) + base)
-            base += len(ids[-1])
-        ids, fps = np.concatenate(ids), np.concatenate(fps)
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        ids, fps = ids[order], fps[order]
-        a, b = near_pairs(np.concatenate(keys), place[np.concatenate(owners)], fps, limit)
+        bucket, every_id, fps = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in zip(_PACKED[1:], (np.uint32, np.int64, np.uint8)))
+        fps = fps.reshape(len(every_id), _BYTES)
+        ids, first, place = np.unique(every_id, return_index=True, return_inverse=True)
+        keys, rows = full_keys(bucket, fps, split)
+        words = np.zeros((len(ids), _WORDS * 8), np.uint8)
+        words[:, :_BYTES] = fps[first]
+        a, b = near_pairs(keys, place[rows], words.view(np.uint64), limit)
         label = _labels(len(ids), a, b)
         moved = np.flatnonzero(ids[label] != ids)
         return pa.table({"u": pa.array(ids[moved], pa.int64()), "v": pa.array(ids[label[moved]], pa.int64())})
@@ -281,18 +304,23 @@ def _verifier(limit: int):
     return verify
 
 
-#: Bytes of packed keys that one task holds at once, about, and bytes of keys a fingerprint has.
-PART_BYTES, KEY_BYTES = 12 << 20, 3000
+#: Bytes of packed buckets that one task holds at once, about; bytes that a fingerprint has there; parts that whole buckets are dealt to.
+PART_BYTES, BUCKET_BYTES, WHOLE_PARTS = 8 << 20, 1100, 4096
 
 
 def near_edges(reps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (u, v) that connect near fingerprints; ``reps`` is (doc_id, fp), an id once."""
+    """Edges (u, v) that connect near fingerprints; ``reps`` is (doc_id, fp).
+
+    Parts are as many as their size asks. Where there are more than whole buckets fill
+    evenly, buckets are split by their second key, so they stay small at any size.
+    """
     spark = reps.sparkSession
     n = reps.count()
-    parts = max(partitions(spark), -(-n * KEY_BYTES // PART_BYTES))
-    tasks = max(1, min(partitions(spark), -(-n // _CHUNK)))
-    packed = reps.repartition(max(tasks, -(-n // (16 * _CHUNK)))).mapInArrow(_emitter(parts), "part int, ids binary, fps binary, keys binary, owners binary")
-    return packed.groupBy("part").applyInArrow(_verifier(max_distance), "u long, v long")
+    parts = max(partitions(spark), -(-n * BUCKET_BYTES // PART_BYTES))
+    split = min(12, max(0, (-(-parts // WHOLE_PARTS) - 1).bit_length()))
+    tasks = max(min(partitions(spark), -(-n // _CHUNK)), -(-n // (16 * _CHUNK)), 1)
+    packed = reps.repartition(tasks).mapInArrow(_emitter(parts, split), "part int, buckets binary, ids binary, fps binary")
+    return packed.groupBy("part").applyInArrow(_verifier(max_distance, split), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -302,13 +330,12 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     means that the fingerprints differ in ``max_distance`` bits at most; groups are
     the connected components of that relation. Documents without an id, with null
     text or without a single word belong to no group. Rows that repeat a doc_id are
-    one document. Ties can't arise: ids order everything. No rows in, no rows out.
+    one document; of different texts the least fingerprint counts. Ties can't arise: ids order everything. No rows in, no rows out.
     Columns other than doc_id and text are not looked at.
     """
-    prints = materialise(fingerprints(docs), "fingerprints")
+    prints = materialise(fingerprints(docs).groupBy("doc_id").agg(F.min("fp").alias("fp")), "fingerprints")
     reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     same = prints.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    # an id that repeats with different texts stands for several fingerprints
     near = near_edges(reps.select(F.col("rep").alias("doc_id"), "fp"), max_distance)
     joined = components(same.unionByName(near))
     return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id")).unionByName(joined.select(F.col("root").alias("doc_id"), F.col("root").alias("keep_id")).distinct())
@@ -321,4 +348,5 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> D
     or go together; rows without an id or without words stay.
     """
     gone = near_duplicates(docs, max_distance).where("doc_id <> keep_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(materialise(gone, "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = materialise(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
