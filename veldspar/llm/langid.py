@@ -25,7 +25,7 @@ from .common import REMEMBERED, column_values, materialise
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Labelled documents of each language that the model is fitted on at most, those of the least hashes of doc_id; words and n-grams of a language that it keeps.
-SAMPLE_DOCS, KEEP_WORDS, KEEP_GRAMS = 1500, 20_000, 20_000
+SAMPLE_DOCS, KEEP_WORDS, KEEP_GRAMS = 1000, 20_000, 20_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Mean log-odds a word by which the best language must lead the next.
 MIN_MARGIN = 0.05

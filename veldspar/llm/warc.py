@@ -25,8 +25,8 @@ from .common import column_values, table_path
 MAGIC_DICTIONARY, MAGIC_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 SUFFIX = ".warc.zst"
 MANDATORY = ("warc-record-id", "warc-type", "warc-date", "content-length")
-#: Bytes that a record may have once decompressed, bytes read from a file at once, bytes of dictionary, pages it is trained on.
-MAX_RECORD, READ, DICTIONARY, TRAINING_PAGES = 1 << 28, 1 << 20, 64 << 10, 400
+#: Bytes that a record may have once decompressed, bytes read from a file at once, bytes of dictionary, pages it is trained on and characters each may have.
+MAX_RECORD, READ, DICTIONARY, TRAINING_PAGES, TRAINING_CHARS = 1 << 28, 1 << 20, 64 << 10, 400, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 
 SCHEMA = "file string, position long, warc_type string, record_id string, target_uri string, headers map<string,string>, payload binary, error string"
@@ -281,7 +281,7 @@ def write_archives(pages: DataFrame, path: str) -> int:
     """
     spark = pages.sparkSession
     columns = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = columns.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(TRAINING_PAGES)
+    chosen = columns.where(F.length("html") <= TRAINING_CHARS).select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(TRAINING_PAGES)
     dictionary = train_dictionary([r.html.encode("utf-8", "surrogatepass") for r in chosen.collect()])
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
