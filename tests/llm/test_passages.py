@@ -1,0 +1,143 @@
+"""Recurring passages and decontamination against brute force."""
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from conftest_words import prose
+from pyspark.sql import functions as F
+
+from veldspar.llm import decontaminate as D
+from veldspar.llm import substring as S
+from veldspar.llm.common import words_of
+
+
+def covered_by_force(texts, n):
+    """Of each document, the words that lie in a run of n that another document has too."""
+    owners = defaultdict(set)
+    words = {i: words_of(t) for i, t in texts.items()}
+    for i, w in words.items():
+        for at in range(len(w) - n + 1):
+            owners[tuple(w[at : at + n])].add(i)
+    out = defaultdict(set)
+    for i, w in words.items():
+        for at in range(len(w) - n + 1):
+            if len(owners[tuple(w[at : at + n])]) > 1:
+                out[i].update(range(at, at + n))
+    return dict(out)
+
+
+def test_winnowing_has_one_in_every_window():
+    h = np.random.default_rng(0).integers(0, 40, 500).astype(np.uint64)
+    for width in (1, 2, 7, 31):
+        wanted = sorted({j + i for j in range(500 - width + 1) for i in range(width) if h[j + i] == h[j : j + width].min()})
+        assert S.winnow(h, width).tolist() == wanted
+    assert S.winnow(h[:3], 7).tolist() == np.flatnonzero(h[:3] == h[:3].min()).tolist() and len(S.winnow(h[:0], 7)) == 0
+
+
+def test_occurrences_against_brute_force(corpus, odd):
+    rows = S.recurring_passages(odd).collect()
+    texts = dict(corpus)
+    wanted, got = covered_by_force(texts, S.MIN_WORDS), defaultdict(set)
+    for r in rows:
+        assert not got[r.doc_id] & set(range(r.start_word - 1, r.end_word + 1))
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+        mine, theirs = words_of(texts[r.doc_id])[r.start_word : r.end_word], words_of(texts[r.ref_doc_id])
+        best = theirs[r.ref_start_word : r.ref_start_word + r.run_words]
+        assert S.MIN_WORDS <= r.run_words <= len(mine) and any(mine[i : i + r.run_words] == best for i in range(len(mine)))
+        assert words_of(texts[r.doc_id][r.start_char : r.end_char]) == mine
+    assert got.keys() == wanted.keys()
+    assert sum(len(got[i] & wanted[i]) for i in wanted) >= 0.95 * sum(map(len, wanted.values()))
+    assert all(got[i] <= wanted[i] for i in got)
+    assert {300 + i for i in range(6)} <= got.keys() and not {30, 404, 405, 406, 400} & got.keys()
+
+
+def test_several_shards_give_the_same(odd, monkeypatch):
+    spans = lambda: set(S.recurring_passages(odd).collect())
+    whole = spans()
+    monkeypatch.setattr(S, "SHARD_PAIRS", 2)
+    assert spans() == whole
+
+
+def test_no_rows(empty):
+    assert S.recurring_passages(empty).count() == 0
+
+
+def force_tiles(item, doc, n):
+    """Greedy string tiling as it is defined: the longest unmarked match, again and again."""
+    a, b, tiles = set(), set(), []
+    while True:
+        best = (0,)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and i + k not in a and j + k not in b:
+                    k += 1
+                if k >= n and k > best[0]:
+                    best = (k, i, j)
+        if best[0] < n:
+            return tiles
+        k, i, j = best
+        tiles.append((i, j, k))
+        a.update(range(i, i + k))
+        b.update(range(j, j + k))
+
+
+def test_tiling_against_definition():
+    rng = random.Random(1)
+    for _ in range(150):
+        item = [rng.choice("abc") for _ in range(rng.randint(0, 16))]
+        doc = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        got = D.tile(item, doc, None, 3)
+        assert sum(k for _, _, k in got) == sum(k for _, _, k in force_tiles(item, doc, 3))
+        assert sorted(k for *_, k in got) == sorted(k for *_, k in force_tiles(item, doc, 3))
+
+
+@pytest.fixture(scope="module")
+def leaks(spark, odd, corpus):
+    rng = random.Random(8)
+    items = [(i, " ".join(prose(rng, rng.randint(12, 50))), "x") for i in range(20)]
+    items += [(50, "", "x"), (51, None, "x"), (52, "too short", "x"), (None, items[0][1], "x"), items[3]]
+    docs = []
+    for i in range(10):
+        words = items[i][1].split()
+        if i >= 5:  # the passage in another order
+            third = len(words) // 3
+            words = words[2 * third :] + words[third : 2 * third] + words[:third]
+        docs.append((900 + i, " ".join(prose(rng, 100) + words + prose(rng, 100))))
+    docs.append((950, " ".join(items[11][1].split()[:5])))
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    more = spark.createDataFrame(docs, "doc_id long, text string")
+    return odd.unionByName(more, allowMissingColumns=True), bench, {i: t for i, t in corpus} | dict(docs), items
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_CHARS, 0])
+def test_contamination_against_brute_force(leaks, limit):
+    docs, bench, texts, items = leaks
+    got = {(r.doc_id, r.item_id): (r.coverage, r.tiles) for r in D.contaminated(docs, bench, broadcast_chars=limit).collect()}
+    wanted = {}
+    for doc, text in texts.items():
+        words = words_of(text)
+        for item_id, item, _ in items:
+            if item_id is not None and item and len(words_of(item)) >= D.MIN_ITEM_WORDS:
+                if set(words) & set(words_of(item)):
+                    tiles = D.tile(words_of(item), words)
+                    share = sum(k for *_, k in tiles) / len(words_of(item))
+                    if share >= D.THRESHOLD:
+                        wanted[doc, item_id] = (share, len(tiles))
+    assert got == wanted and {d for d, _ in got} == {900 + i for i in range(10)}
+
+
+def test_contaminated_documents_go(leaks):
+    docs, bench, *_ = leaks
+    kept = D.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 10
+    assert kept.where("doc_id IS NULL").count() == 2
+
+
+def test_empty_tables(leaks, empty):
+    docs, bench, *_ = leaks
+    assert D.contaminated(empty, bench).count() == 0 and D.contaminated(docs, bench.where("false")).count() == 0
+    assert D.contaminated(docs, bench.where("false"), broadcast_chars=-1).count() == 0
+    assert D.drop_contaminated(docs, bench.where(F.lit(False))).count() == docs.count()

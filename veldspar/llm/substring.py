@@ -10,7 +10,9 @@
 3. In a shard, the references' text around recurring seeds is cut into tiles of 25
    words, which an automaton over word ids is compiled of. All the shard's documents
    stream through it, and each tile found is extended, word by word, as far as
-   document and reference agree. What reaches ``MIN_WORDS`` is a confirmed occurrence.
+   document and reference agree. What reaches ``MIN_WORDS`` is a confirmed run; runs
+   that overlap are joined to regions, so that what repeats many times in a document
+   gives one row, not one for each pair of places.
    A run of 49 words or more always holds a whole tile, so none is missed.
 
 A reference that very many documents share has several shards, each with the
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, column_values, keyed_texts, materialise, rolling, words_of
@@ -102,16 +104,18 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def occurrences(texts: dict[int, str], around: dict[int, list[int]], min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> set[tuple]:
-    """(doc, start, end, reference, its start, its end), in words, of all maximal runs of
-    ``min_words`` or more that a document shares with a reference, and the reference's own.
+def runs(texts: dict[int, str], around: dict[int, list[int]], refs_of: dict[int, list[int]], min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> dict[int, list[tuple]]:
+    """Of each document the maximal runs of ``min_words`` words or more, as (start, end,
+    reference, its start), that it shares with its references; of a reference those
+    that documents share with it.
 
-    ``around``: of each reference, the positions of its recurring seeds.
+    ``around``: of each reference, the positions of its recurring seeds; ``refs_of``: of
+    each document, its references.
     """
     ids = _Ids()
     arrays = {d: np.fromiter(map(ids.__getitem__, words_of(t)), np.int64, -1) for d, t in texts.items()}
     tile = min_words // 2
-    tiles: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    tiles: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for ref, positions in around.items():
         words = arrays.get(ref)
         if words is None:
@@ -120,45 +124,49 @@ def occurrences(texts: dict[int, str], around: dict[int, list[int]], min_words:
         for p in positions:
             lo, hi = max(0, p + k - min_words), min(len(words), p + min_words)
             wanted.update(range(-(-lo // tile), hi // tile))
-        for t in wanted:
-            tiles[tuple(words[t * tile : (t + 1) * tile].tolist())].append((ref, t * tile))
-    found: set[tuple] = set()
+        for t in sorted(wanted):
+            tiles[tuple(words[t * tile : (t + 1) * tile].tolist())][ref].append(t * tile)
+    found: dict[int, list[tuple]] = defaultdict(list)
     if not tiles:
         return found
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for key, places in tiles.items():
         automaton.add_word(key, places)
     automaton.make_automaton()
-    for doc, words in arrays.items():
+    for doc, refs in refs_of.items():
+        words = arrays.get(doc)
+        if words is None:
+            continue
         covered: dict[tuple[int, int], int] = {}
         for end, places in automaton.iter(tuple(words.tolist())):
             start = end - tile + 1
-            for ref, at in places:
-                if ref == doc and at == start:
-                    continue
-                diagonal = (ref, start - at)
-                if start < covered.get(diagonal, -1):
-                    continue
-                other = arrays[ref]
-                right = _agree(words[start:], other[at:])
-                left = _agree(words[:start][::-1], other[:at][::-1])
-                covered[diagonal] = start + right
-                if left + right >= min_words and ref != doc:
-                    found.add((doc, start - left, start + right, ref, at - left, at + right))
-                    found.add((ref, at - left, at + right, ref, at - left, at + right))
+            for ref in refs:
+                for at in places.get(ref, ()):
+                    diagonal = (ref, start - at)
+                    if start < covered.get(diagonal, -1):
+                        continue
+                    other = arrays[ref]
+                    right = _agree(words[start:], other[at:])
+                    left = _agree(words[:start][::-1], other[:at][::-1])
+                    covered[diagonal] = start + right
+                    if left + right >= min_words:
+                        found[doc].append((start - left, start + right, ref, at - left))
+                        found[ref].append((at - left, at + right, ref, at - left))
     return found
 
 
-def longest(found: set[tuple]) -> list[tuple]:
-    """Without the runs that lie inside another run of the same document and reference."""
-    kept, last = [], None
-    for row in sorted(found, key=lambda r: (r[0], r[3], r[1], -r[2], r[4])):
-        if last != (row[0], row[3]):
-            last, reach = (row[0], row[3]), -1
-        if row[2] > reach:
-            kept.append(row)
-            reach = row[2]
-    return kept
+def regions(found: list[tuple]) -> list[tuple]:
+    """Runs that overlap or touch joined, as (start, end, reference, its start, words), the
+    last three of the longest run of the region (the first of several)."""
+    out: list[list] = []
+    for start, end, ref, at in sorted(set(found)):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+            if end - start > out[-1][4]:
+                out[-1][2:] = ref, at, end - start
+        else:
+            out.append([start, end, ref, at, end - start])
+    return [tuple(r) for r in out]
 
 
 def _spans(text: str, n_words: int) -> list[tuple[int, int]] | None:
@@ -166,41 +174,53 @@ def _spans(text: str, n_words: int) -> list[tuple[int, int]] | None:
     return spans if len(spans) == n_words else None  # lower-casing can split a word
 
 
-_OUT = "doc_id long, start_word int, end_word int, start_char int, end_char int, ref_doc_id long, ref_start_word int"
+_OUT = "doc_id long, start_word int, end_word int, start_char int, end_char int, ref_doc_id long, ref_start_word int, run_words int"
 
 
 def _locator(min_words: int, k: int):
     def locate(table: pa.Table) -> pa.Table:
-        texts, around = {}, {}
-        for doc, text, at in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "at"))):
-            texts[doc] = text
+        texts, around, refs_of = {}, {}, {}
+        for doc, text, at, refs in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "at", "refs"))):
+            texts[doc] = min(texts.get(doc, text), text)
             if at:
                 around[doc] = at
-        by_doc = defaultdict(list)
-        for row in longest(occurrences(texts, around, min_words, k)):
-            by_doc[row[0]].append(row)
-        out: list[list] = [[] for _ in range(7)]
-        for doc, rows in by_doc.items():
+            if refs:
+                refs_of[doc] = sorted(refs)
+        out: list[list] = [[] for _ in range(8)]
+        for doc, found in runs(texts, around, refs_of, min_words, k).items():
             spans = _spans(texts[doc], len(words_of(texts[doc])))
-            for _, s, e, ref, rs, _ in rows:
-                for column, value in zip(out, (doc, s, e, spans[s][0] if spans else None, spans[e - 1][1] if spans else None, ref, rs)):
+            for s, e, ref, rs, n in regions(found):
+                for column, value in zip(out, (doc, s, e, spans[s][0] if spans else None, spans[e - 1][1] if spans else None, ref, rs, n)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         names = [c.split()[0] for c in _OUT.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     return locate
 
 
+def _joined(found: DataFrame) -> DataFrame:
+    """Regions of one document that overlap or touch, from several shards, as one."""
+    w = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "ref_doc_id", "ref_start_word")
+    reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = found.withColumn("_new", F.coalesce(F.col("start_word") > reach, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by(F.struct("ref_doc_id", "ref_start_word"), F.struct("run_words", -F.col("start_word"), -F.col("ref_doc_id"), -F.col("ref_start_word"))).alias("best")
+    return (
+        islands.groupBy("doc_id", "_island")
+        .agg(*(f(c).alias(c) for c, f in (("start_word", F.min), ("end_word", F.max), ("start_char", F.min), ("end_char", F.max), ("run_words", F.max))), best)
+        .select("doc_id", "start_word", "end_word", "start_char", "end_char", "best.ref_doc_id", "best.ref_start_word", "run_words")
+    )
+
+
 def recurring_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
-    """Every occurrence of a passage of ``min_words`` words or more that two documents share.
+    """Where documents have passages of ``min_words`` words or more that others have too.
 
-    One row for each run that a document shares with a reference document (ref_doc_id,
-    ref_start_word), unless it lies inside a longer one of the two, and one for the run
-    in the reference itself, where doc_id = ref_doc_id; of runs that begin and end at the
-    same places the one that comes first in the reference is given. Words are runs of letters and digits, compared without case;
-    start_word and end_word count them (end exclusive), start_char and end_char are
+    A row is a region of a document: runs that it shares with reference documents, joined
+    where they overlap or touch. Words are runs of letters and digits, compared without
+    case; start_word and end_word count them (end exclusive), start_char and end_char are
     offsets into text, null where lower-casing changes how a text divides into words.
+    run_words is the length of the region's longest run, which begins at ref_start_word in
+    document ref_doc_id; in the reference's own row that is the document itself.
 
     Rows without id, with null or short text have no occurrence. Rows that repeat a
     doc_id are one document, of the text that sorts first. What repeats only within
@@ -220,10 +240,16 @@ def recurring_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words:
     total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_PAIRS))
     load = load.select("ref_id", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"), F.ceil(F.col("n") / SHARD_PAIRS).cast("int").alias("subs"))
-    routed = pairs.join(load, "ref_id").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub"), "doc_id")
+    routed = pairs.join(load, "ref_id").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub"), "doc_id", "ref_id")
     at = hits.groupBy("ref_id").agg(F.collect_set("ref_pos").alias("at"))
     owners = load.join(at, "ref_id").select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("ref_id").alias("doc_id"), "at")
-    plan = routed.select("*", F.expr("CAST(NULL AS array<int>)").alias("at")).unionByName(owners).groupBy("shard", "sub", "doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    plan = (
+        routed.select("shard", "sub", "doc_id", F.expr("CAST(NULL AS array<int>)").alias("at"), "ref_id")
+        .unionByName(owners.withColumn("ref_id", F.lit(None).cast("long")))
+        .groupBy("shard", "sub", "doc_id")
+        .agg(F.flatten(F.collect_list("at")).alias("at"), F.collect_set("ref_id").alias("refs"))
+    )
     plan = materialise(plan, "routes")
-    one = texts.join(plan.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return plan.join(one, "doc_id").groupBy("shard", "sub").applyInArrow(_locator(min_words, seed_words), _OUT).distinct()
+    # the plan is the side that is built: texts pass by it unsorted, at any size alike
+    whole = texts.join(plan.hint("shuffle_hash"), "doc_id")
+    return _joined(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words, seed_words), _OUT))
