@@ -56,7 +56,7 @@ def test_occurrences_against_brute_force(corpus, odd):
 def test_several_shards_give_the_same(odd, monkeypatch):
     spans = lambda: set(S.recurring_passages(odd).collect())
     whole = spans()
-    monkeypatch.setattr(S, "SHARD_PAIRS", 2)
+    monkeypatch.setattr(S, "SHARD_WORDS", 300)
     assert spans() == whole
 
 

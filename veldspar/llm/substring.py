@@ -36,8 +36,8 @@ from .common import WORD, WordHashes, column_values, keyed_texts, materialise, r
 MIN_WORDS = 50
 SEED_WORDS = 20
 TILE = MIN_WORDS // 2
-#: (document, reference) pairs that a shard has, about.
-SHARD_PAIRS = 1500
+#: Words of documents that a shard has, about.
+SHARD_WORDS = 1_000_000
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def _seeder(min_words: int, k: int):
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            hs, ds, ps = [], [], []
+            hs, ds, ps, ns = [], [], [], []
             for doc, text in zip(*column_values(batch, "doc_id", "text")):
                 words = words_of(text)
                 if len(words) >= min_words:
@@ -80,8 +80,9 @@ def _seeder(min_words: int, k: int):
                     hs.append(h)
                     ps.append(at)
                     ds.append(np.full(len(h), doc, np.int64))
+                    ns.append(np.full(len(h), len(words), np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps).astype(np.int32))], ["h", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps).astype(np.int32)), pa.array(np.concatenate(ns))], ["h", "doc_id", "pos", "words"])
 
     return seeds
 
@@ -157,7 +158,7 @@ def runs(texts: dict[int, str], around: dict[int, list[int]], refs_of: dict[int,
 
 def regions(found: list[tuple]) -> list[tuple]:
     """Runs that overlap or touch joined, as (start, end, reference, its start, words), the
-    last three of the longest run of the region (the first of several)."""
+    last three of the longest of its runs (the first of several)."""
     out: list[list] = []
     for start, end, ref, at in sorted(set(found)):
         if out and start <= out[-1][1]:
@@ -219,27 +220,28 @@ def recurring_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words:
     where they overlap or touch. Words are runs of letters and digits, compared without
     case; start_word and end_word count them (end exclusive), start_char and end_char are
     offsets into text, null where lower-casing changes how a text divides into words.
-    run_words is the length of the region's longest run, which begins at ref_start_word in
-    document ref_doc_id; in the reference's own row that is the document itself.
+    run_words is the length of the longest run that the region is put together of, which
+    begins at ref_start_word in document ref_doc_id, the document itself in a reference's
+    own row.
 
     Rows without id, with null or short text have no occurrence. Rows that repeat a
     doc_id are one document, of the text that sorts first. What repeats only within
     one document doesn't count. Empty in, empty out. Other columns aren't looked at.
     """
     texts = keyed_texts(docs)
-    seeds = materialise(texts.mapInArrow(_seeder(min_words, seed_words), "h long, doc_id long, pos int"), "seeds")
+    seeds = materialise(texts.mapInArrow(_seeder(min_words, seed_words), "h long, doc_id long, pos int, words int"), "seeds")
     refs = (
         seeds.groupBy("h")
         .agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("last"))
         .where("ref.doc_id < last")
         .select("h", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"))
     )
-    hits = materialise(seeds.join(refs, "h").select("doc_id", "ref_id", "ref_pos"), "hits")
-    pairs = hits.where("doc_id <> ref_id").select("doc_id", "ref_id").distinct()
-    load = materialise(pairs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")), "loads")
+    hits = materialise(seeds.join(refs, "h").select("doc_id", "words", "ref_id", "ref_pos"), "hits")
+    pairs = hits.where("doc_id <> ref_id").groupBy("doc_id", "ref_id").agg(F.max("words").alias("words"))
+    load = materialise(pairs.groupBy("ref_id").agg(F.sum("words").alias("n")), "loads")
     total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_PAIRS))
-    load = load.select("ref_id", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"), F.ceil(F.col("n") / SHARD_PAIRS).cast("int").alias("subs"))
+    shards = max(1, -(-total // SHARD_WORDS))
+    load = load.select("ref_id", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"), F.ceil(F.col("n") / SHARD_WORDS).cast("int").alias("subs"))
     routed = pairs.join(load, "ref_id").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub"), "doc_id", "ref_id")
     at = hits.groupBy("ref_id").agg(F.collect_set("ref_pos").alias("at"))
     owners = load.join(at, "ref_id").select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("ref_id").alias("doc_id"), "at")
