@@ -74,6 +74,12 @@ def test_modes_of_search(engine):
     approximate = c.search([50, 50], k=3, precision="medium")
     assert set(ids(approximate)) <= set(range(10)) and 0 <= approximate.percent_searched <= 100
     assert set(ids(c.search([50, 50], radius=30, precision="medium", filter=F.col("id") > 2))) <= {i for i in order if d[i] <= 30 and i > 2}
+    before = ids(approximate)
+    c.build_index()
+    assert c.has_index() and ids(c.search([50, 50], k=3, precision="medium")) == before
+    assert c.search([50, 50], k=3, precision="medium", filter="x == 1").collect() == []
+    c.remove([0])
+    assert not c.has_index()
 
 
 def test_ids_get_update_remove(engine):

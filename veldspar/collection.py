@@ -275,17 +275,32 @@ class Collection:
             found = search.within(rows, q, radius, method, predicate) if radius > 0 else search.nearest(rows, q, k, method, predicate)
             return SearchResults(found, lambda: 100.0 if frame.count() else 0.0, took)
         hasher = self.hasher()
-        indexed = lsh.hashed(frame, hasher)
-        if filter is not None:
-            indexed, predicate = self.filtered(indexed, filter)
-        found = lsh.within(indexed, query, radius, hasher, predicate) if radius > 0 else lsh.nearest(indexed, query, k, hasher, predicate)
+        near = lambda rows: lsh.probed(rows, f"{self.path}/{self._index_name()}", query, hasher) if self.has_index() else lsh.candidates(lsh.hashed(rows, hasher), query, hasher).drop("keys")
+        chosen, predicate = self.filtered(near(frame), filter)
+        found = search.within(chosen, q, radius, method, predicate) if radius > 0 else search.nearest(chosen, q, k, method, predicate)
 
         def percent() -> float:
             total = frame.count()
-            return lsh.candidates(lsh.hashed(frame, hasher), query, hasher).count() / total * 100 if total else 0.0
+            return near(frame).count() / total * 100 if total else 0.0
 
         return SearchResults(found, percent, took)
 
+    def _index_name(self) -> str:
+        return f"index-v={self.version}"
+
+    def has_index(self) -> bool:
+        return self.files.exists(f"{self._index_name()}/_SUCCESS")
+
+    def build_index(self) -> None:
+        """Store the hash keys of the current version, for approximate search to probe. Until a
+        changed collection is indexed again, its vectors are hashed as they are searched."""
+        if self.read_only:
+            raise PermissionError(f"{self.options.name} is open for reading only")
+        for old in self.files.names():
+            if old.startswith("index-"):
+                self.files.delete(old)
+        lsh.write_index(self.frame(), self.hasher(), f"{self.path}/{self._index_name()}")
+
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, distance, rank) for each of many queries (query_id, vector)."""
         return search.nearest_batch(self.frame(), queries, k, self.options.distance_method)

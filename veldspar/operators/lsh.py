@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from .search import measured
@@ -92,9 +93,21 @@ def hashed(frame: DataFrame, hasher: Hasher) -> DataFrame:
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * hasher.tables)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], [*batch.schema.names, "keys"])
 
-    schema = frame.schema.simpleString()[len("struct<") : -1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(run, f"{fields}, keys array<bigint>") if schema else frame
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def write_index(frame: DataFrame, hasher: Hasher, path: str) -> None:
+    """(key, id) rows in the order of keys, so that a probe reads the row groups that have its keys."""
+    keys = hashed(frame.select("id", "vector"), hasher).select(F.explode("keys").alias("key"), "id")
+    keys.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def probed(frame: DataFrame, path: str, query, hasher: Hasher) -> DataFrame:
+    """The records that share a key with the query, by a stored index: vectors are read of
+    the records it names only as far as they join."""
+    index = frame.sparkSession.read.schema("key long, id long").parquet(path)
+    ids = index.where(F.col("key").isin(hasher.probes(query).tolist())).select("id").distinct()
+    return frame.join(ids, "id", "left_semi")
 
 
 def candidates(indexed: DataFrame, query, hasher: Hasher) -> DataFrame:
@@ -103,6 +116,7 @@ def candidates(indexed: DataFrame, query, hasher: Hasher) -> DataFrame:
 
 
 def nearest(indexed: DataFrame, query, k: int, hasher: Hasher, predicate: Column | None = None) -> DataFrame:
+    """The k nearest of the candidates."""
     return measured(candidates(indexed, query, hasher), vectors.literal(query), hasher.method, predicate).orderBy("distance", "id").limit(k)
 
 
