@@ -150,4 +150,5 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     chosen = materialise(copies(docs, weights, total_bytes, alpha, seed).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("copies").alias("_n")), "copies")
     same = docs["doc_id"].cast("long").eqNullSafe(chosen["_d"]) & docs["source"].cast("string").eqNullSafe(chosen["_s"])
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    return docs.join(chosen, same).select(row, F.explode(F.sequence(F.lit(1), chosen["_n"]))).select("row.*")
+    # the narrow side is built and texts pass by it unsorted, at any size alike
+    return docs.join(chosen.hint("shuffle_hash"), same).select(row, F.explode(F.sequence(F.lit(1), chosen["_n"]))).select("row.*")
