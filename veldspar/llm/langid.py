@@ -12,7 +12,6 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,39 +30,49 @@ ORDERS = (5, 4, 3, 2, 1)
 MIN_MARGIN = 0.05
 
 
-@dataclass
 class Model:
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    remembered: dict[str, np.ndarray] = field(default_factory=dict)
+    """Log frequencies of words and n-grams in each language: dicts of arrays.
+
+    Words, and unseen ones once they are scored, have a row in one matrix, so that a text
+    costs a lookup for each distinct word and one product.
+    """
+
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> None:
+        self.languages, self.words, self.grams = languages, words, grams
+        self._forget()
 
     def __getstate__(self):
         keys = lambda d: (list(d), np.stack(list(d.values())) if d else np.zeros((0, len(self.languages)), np.float32))
         return self.languages, keys(self.words), keys(self.grams)
 
     def __setstate__(self, state):
-        self.languages, (w, wv), (g, gv) = state
-        self.words, self.grams, self.remembered = dict(zip(w, wv)), dict(zip(g, gv)), {}
+        languages, (w, wv), (g, gv) = state
+        self.__init__(languages, dict(zip(w, wv)), dict(zip(g, gv)))
+
+    def _forget(self) -> None:
+        self._row = dict(zip(self.words, range(len(self.words))))
+        self._rows = np.zeros((len(self.words) + 1024, len(self.languages)), np.float32)
+        if self.words:
+            self._rows[: len(self.words)] = list(self.words.values())
+
+    def _add(self, word: str) -> int:
+        row = self._row[word] = len(self._row)
+        if row >= len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        self._rows[row] = self._backoff(word)
+        return row
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a word in each language, by backoff."""
         known = self.words.get(word)
-        if known is not None:
-            return known
-        known = self.remembered.get(word)
-        if known is None:
-            if len(self.remembered) >= REMEMBERED // 2:
-                self.remembered.clear()
-            known = self.remembered[word] = self._backoff(word)
-        return known
+        return self._backoff(word) if known is None else known
 
     def _backoff(self, word: str) -> np.ndarray:
-        padded = f"^{word}$"
+        padded, grams = f"^{word}$", self.grams
         for n in ORDERS:
-            found = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
+            found = [grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in grams]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found) / len(found)
         return np.zeros(len(self.languages), np.float32)
 
     def score(self, text: str | None) -> tuple[str | None, float, int]:
@@ -73,7 +82,11 @@ class Model:
         n = sum(counts.values())
         if not n or not self.languages:
             return None, 0.0, n
-        scores = np.array(list(counts.values()), np.float64) @ np.stack([self.word(w) for w in counts]) / n
+        if len(self._row) > len(self.words) + REMEMBERED // 2:
+            self._forget()
+        get, add = self._row.get, self._add
+        rows = [add(w) if (r := get(w)) is None else r for w in counts]
+        scores = np.fromiter(counts.values(), np.float64, len(counts)) @ self._rows[rows] / n
         order = np.argsort(-scores, kind="stable")
         return self.languages[order[0]], float(scores[order[0]] - scores[order[1]]) if len(order) > 1 else math.inf, n
 
