@@ -281,8 +281,11 @@ def write_archives(pages: DataFrame, path: str) -> int:
     """
     spark = pages.sparkSession
     columns = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    chosen = columns.where(F.length("html") <= TRAINING_CHARS).select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(TRAINING_PAGES)
-    dictionary = train_dictionary([r.html.encode("utf-8", "surrogatepass") for r in chosen.collect()])
+    hashed = columns.where(F.length("html") <= TRAINING_CHARS).select("html", F.xxhash64("page_id", "url").alias("h"))
+    # the hashes first, so that what tasks send to the driver doesn't grow with their number
+    least = hashed.select("h").distinct().orderBy("h").limit(TRAINING_PAGES).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= least).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if least is not None else []
+    dictionary = train_dictionary([r.html.encode("utf-8", "surrogatepass") for r in chosen])
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
     return columns.mapInArrow(_writer(path, spark.sparkContext.broadcast(dictionary)), "records long").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
