@@ -60,6 +60,16 @@ def test_several_shards_give_the_same(odd, monkeypatch):
     assert spans() == whole
 
 
+def test_touching_runs_keep_their_references(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 150), prose(rng, 150)
+    texts = [(1, prose(rng, 40) + a), (2, b + prose(rng, 40)), (3, prose(rng, 30) + a + b + prose(rng, 30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    rows = {(r.doc_id, r.start_word, r.end_word, r.ref_doc_id, r.ref_start_word, r.run_words) for r in S.recurring_runs(docs).collect()}
+    assert rows == {(1, 40, 190, 1, 40, 150), (2, 0, 150, 2, 0, 150), (3, 30, 180, 1, 40, 150), (3, 180, 330, 2, 0, 150)}
+    assert [(r.doc_id, r.start_word, r.end_word) for r in S.recurring_passages(docs).where("doc_id = 3").collect()] == [(3, 30, 330)]
+
+
 def test_no_rows(empty):
     assert S.recurring_passages(empty).count() == 0
 

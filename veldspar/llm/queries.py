@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.recurring_passages(_table(spark, sf_dir, "documents"))
+    return substring.recurring_runs(_table(spark, sf_dir, "documents"))
 
 
 def op2_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@
 3. In a shard, the references' text around recurring seeds is cut into tiles of 25
    words, which an automaton over word ids is compiled of. All the shard's documents
    stream through it, and each tile found is extended, word by word, as far as
-   document and reference agree. What reaches ``MIN_WORDS`` is a confirmed run; runs
-   that overlap are joined to regions, so that what repeats many times in a document
-   gives one row, not one for each pair of places.
+   document and reference agree. What reaches ``MIN_WORDS`` is a confirmed run, a row
+   with its own reference; a run inside another one with the same reference is left
+   out, so that what repeats many times in a document gives no row for each pair of
+   places.
    A run of 49 words or more always holds a whole tile, so none is missed.
 
 A reference that very many documents share has several shards, each with the
@@ -156,18 +157,15 @@ def runs(texts: dict[int, str], around: dict[int, list[int]], refs_of: dict[int,
     return found
 
 
-def regions(found: list[tuple]) -> list[tuple]:
-    """Runs that overlap or touch joined, as (start, end, reference, its start, words), the
-    last three of the longest of its runs (the first of several)."""
-    out: list[list] = []
-    for start, end, ref, at in sorted(set(found)):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-            if end - start > out[-1][4]:
-                out[-1][2:] = ref, at, end - start
-        else:
-            out.append([start, end, ref, at, end - start])
-    return [tuple(r) for r in out]
+def longest(found: list[tuple]) -> list[tuple]:
+    """A document's runs without those that lie inside another run with the same reference;
+    of runs with the same ends, the one that comes first in the reference."""
+    kept, reach = [], {}
+    for row in sorted(set(found), key=lambda r: (r[2], r[0], -r[1], r[3])):
+        if row[1] > reach.get(row[2], -1):
+            kept.append(row)
+            reach[row[2]] = row[1]
+    return kept
 
 
 def _spans(text: str, n_words: int) -> list[tuple[int, int]] | None:
@@ -190,8 +188,8 @@ def _locator(min_words: int, k: int):
         out: list[list] = [[] for _ in range(8)]
         for doc, found in runs(texts, around, refs_of, min_words, k).items():
             spans = _spans(texts[doc], len(words_of(texts[doc])))
-            for s, e, ref, rs, n in regions(found):
-                for column, value in zip(out, (doc, s, e, spans[s][0] if spans else None, spans[e - 1][1] if spans else None, ref, rs, n)):
+            for s, e, ref, rs in longest(found):
+                for column, value in zip(out, (doc, s, e, spans[s][0] if spans else None, spans[e - 1][1] if spans else None, ref, rs, e - s)):
                     column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         names = [c.split()[0] for c in _OUT.split(", ")]
@@ -200,8 +198,15 @@ def _locator(min_words: int, k: int):
     return locate
 
 
+def _longest(found: DataFrame) -> DataFrame:
+    """longest() over the rows of all shards: a reference can be in several."""
+    w = Window.partitionBy("doc_id", "ref_doc_id").orderBy("start_word", F.desc("end_word"), "ref_start_word")
+    reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("_reach", reach).where("_reach IS NULL OR end_word > _reach").drop("_reach")
+
+
 def _joined(found: DataFrame) -> DataFrame:
-    """Regions of one document that overlap or touch, from several shards, as one."""
+    """Runs of one document that overlap or touch, as one region."""
     w = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "ref_doc_id", "ref_start_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("_new", F.coalesce(F.col("start_word") > reach, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -214,15 +219,23 @@ def _joined(found: DataFrame) -> DataFrame:
 
 
 def recurring_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+    """The regions of documents that ``recurring_runs`` cover: runs joined where they overlap
+    or touch. run_words is the length of the longest run of the region, which begins at
+    ref_start_word in document ref_doc_id; the region's other references are only in the
+    rows of ``recurring_runs``."""
+    return _joined(recurring_runs(docs, min_words, seed_words))
+
+
+def recurring_runs(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Where documents have passages of ``min_words`` words or more that others have too.
 
-    A row is a region of a document: runs that it shares with reference documents, joined
-    where they overlap or touch. Words are runs of letters and digits, compared without
-    case; start_word and end_word count them (end exclusive), start_char and end_char are
-    offsets into text, null where lower-casing changes how a text divides into words.
-    run_words is the length of the longest run that the region is put together of, which
-    begins at ref_start_word in document ref_doc_id, the document itself in a reference's
-    own row.
+    A row is a maximal run that a document shares with a reference document, run_words
+    long, which begins at ref_start_word in document ref_doc_id; in a reference's own row
+    that is the document itself. Runs with several references can overlap, and each has
+    its row; only a run inside another one of the same document and reference has none.
+    Words are runs of letters and digits, compared without case; start_word and end_word
+    count them (end exclusive), start_char and end_char are offsets into text, null where
+    lower-casing changes how a text divides into words.
 
     Rows without id, with null or short text have no occurrence. Rows that repeat a
     doc_id are one document, of the text that sorts first. What repeats only within
@@ -254,4 +267,4 @@ def recurring_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words:
     plan = materialise(plan, "routes")
     # the plan is the side that is built: texts pass by it unsorted, at any size alike
     whole = texts.join(plan.hint("shuffle_hash"), "doc_id")
-    return _joined(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words, seed_words), _OUT))
+    return _longest(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words, seed_words), _OUT))
