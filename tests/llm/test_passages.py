@@ -70,6 +70,24 @@ def test_touching_runs_keep_their_references(spark):
     assert [(r.doc_id, r.start_word, r.end_word) for r in S.recurring_passages(docs).where("doc_id = 3").collect()] == [(3, 30, 330)]
 
 
+def test_a_shorter_copy_in_the_smallest_document_hides_nothing(spark):
+    rng, texts, wanted = random.Random(5), [], set()
+    for n in range(40):
+        common, more = prose(rng, 45), prose(rng, 10)
+        texts += [(3 * n, prose(rng, 60) + common + prose(rng, 60)), (3 * n + 1, prose(rng, 50) + common + more + prose(rng, 50)), (3 * n + 2, prose(rng, 70) + common + more + prose(rng, 40))]
+        wanted |= {(3 * n + 1, 50, 105, 3 * n + 1), (3 * n + 2, 70, 125, 3 * n + 1)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.end_word, r.ref_doc_id) for r in S.recurring_runs(docs).collect()} == wanted
+
+
+def test_both_places_in_a_reference_are_found(spark):
+    rng = random.Random(6)
+    passage = prose(rng, 53)
+    texts = [(1, prose(rng, 40) + passage + prose(rng, 37) + passage + prose(rng, 30)), (2, prose(rng, 20) + passage + prose(rng, 20))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.end_word, r.ref_doc_id) for r in S.recurring_runs(docs).collect()} == {(1, 40, 93, 1), (1, 130, 183, 1), (2, 20, 73, 1)}
+
+
 def test_no_rows(empty):
     assert S.recurring_passages(empty).count() == 0
 

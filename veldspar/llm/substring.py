@@ -3,17 +3,19 @@
 1. Every document is winnowed: of each 31 successive windows of 20 words the one with
    the smallest Karp-Rabin hash is a seed. Any passage of 50 words holds a seed, and
    it is the same in every document that has the passage.
-2. A seed that two documents share is recurring; the smallest (doc_id, position) that
-   has it is its reference. Each document goes to the shard of each of its
-   references, and so does the reference itself. Documents that share a passage so
-   meet in a shard; those that share nothing go nowhere.
-3. In a shard, the references' text around recurring seeds is cut into tiles of 25
-   words, which an automaton over word ids is compiled of. All the shard's documents
-   stream through it, and each tile found is extended, word by word, as far as
-   document and reference agree. What reaches ``MIN_WORDS`` is a confirmed run, a row
-   with its own reference; a run inside another one with the same reference is left
-   out, so that what repeats many times in a document gives no row for each pair of
-   places.
+2. A seed that two documents share is recurring. Of documents with recurring seeds,
+   every window of 50 words whose seed recurs is hashed, and the smallest doc_id that
+   has a window is the window's reference. So documents that have only a part of a
+   passage, however small their ids, don't hide the others that share more of it.
+3. Each document goes to the shard of each of its references, and so does the
+   reference itself. Documents that share a window so meet in a shard; those that
+   share nothing go nowhere.
+4. In a shard, the references are cut into tiles of 25 words, which an automaton over
+   word ids is compiled of. All the shard's documents stream through it, and each
+   tile found is extended, word by word, as far as document and reference agree. What
+   reaches ``MIN_WORDS`` is a confirmed run, a row with its own reference; a run
+   inside another one with the same reference is left out, so that what repeats many
+   times in a document gives no row for each pair of places.
    A run of 49 words or more always holds a whole tile, so none is missed.
 
 A reference that very many documents share has several shards, each with the
@@ -41,16 +43,22 @@ TILE = MIN_WORDS // 2
 SHARD_WORDS = 1_000_000
 
 
-def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions whose hash is the least of some ``width`` successive ones."""
-    n = len(hashes)
-    if n <= width:
-        return np.flatnonzero(hashes == hashes.min()) if n else np.empty(0, np.int64)
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` successive hashes."""
     least, span = hashes, 1
     while span < width:
         step = min(span, width - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
+    return least
+
+
+def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Positions whose hash is the least of some ``width`` successive ones."""
+    n = len(hashes)
+    if n <= width:
+        return np.flatnonzero(hashes == hashes.min()) if n else np.empty(0, np.int64)
+    least = _least(hashes, width)
     # least[j] is over hashes[j : j + width]; the greatest of the windows that hold i
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     most, span = padded, 1
@@ -61,33 +69,55 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(most == hashes)
 
 
-def seeds_of(hashes: np.ndarray, min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(seed hashes, positions) of a document; of equal seeds, the first."""
-    rolled = rolling(hashes, k)
-    at = winnow(rolled, min_words - k + 1)
-    found, first = np.unique(rolled[at], return_index=True)
-    return found, at[first]
+def _pairs_of(column: list[tuple[int, np.ndarray]], name: str) -> Iterator[pa.RecordBatch]:
+    """One batch of (name, doc_id) from the hashes of each document."""
+    if column:
+        hashes = np.concatenate([h for _, h in column]).view(np.int64)
+        docs = np.repeat(np.array([d for d, _ in column], np.int64), [len(h) for _, h in column])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(docs)], [name, "doc_id"])
+
+
+def seeds_of(hashes: np.ndarray, min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> np.ndarray:
+    """The distinct seeds of a document of ``min_words`` or more."""
+    return np.unique(_least(rolling(hashes, k), min_words - k + 1))
+
+
+def windows_of(hashes: np.ndarray, seeds: np.ndarray, min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> np.ndarray:
+    """The distinct windows of ``min_words`` of a document whose seed is one of these."""
+    return np.unique(rolling(hashes, min_words)[np.isin(_least(rolling(hashes, k), min_words - k + 1), seeds)])
 
 
 def _seeder(min_words: int, k: int):
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            hs, ds, ps, ns = [], [], [], []
+            found = []
             for doc, text in zip(*column_values(batch, "doc_id", "text")):
                 words = words_of(text)
                 if len(words) >= min_words:
-                    h, at = seeds_of(known.of(words), min_words, k)
-                    hs.append(h)
-                    ps.append(at)
-                    ds.append(np.full(len(h), doc, np.int64))
-                    ns.append(np.full(len(h), len(words), np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps).astype(np.int32)), pa.array(np.concatenate(ns))], ["h", "doc_id", "pos", "words"])
+                    found.append((doc, seeds_of(known.of(words), min_words, k)))
+            yield from _pairs_of(found, "h")
 
     return seeds
 
 
+def _windower(min_words: int, k: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            found, counts = [], []
+            for doc, text, seeds in zip(*column_values(batch, "doc_id", "text", "seeds")):
+                words = words_of(text)
+                if len(words) >= min_words:
+                    w = windows_of(known.of(words), np.array(seeds, np.int64).view(np.uint64), min_words, k)
+                    found.append((doc, w))
+                    counts.append(np.full(len(w), len(words), np.int32))
+            for pairs in _pairs_of(found, "w"):
+                yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(np.concatenate(counts))], ["w", "doc_id", "words"])
+
+    return windows
+
+
 class _Ids(dict):
     def __missing__(self, word: str) -> int:
         value = self[word] = len(self) + 1
@@ -106,27 +136,18 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def runs(texts: dict[int, str], around: dict[int, list[int]], refs_of: dict[int, list[int]], min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> dict[int, list[tuple]]:
+def runs(texts: dict[int, str], refs_of: dict[int, list[int]], min_words: int = MIN_WORDS) -> dict[int, list[tuple]]:
     """Of each document the maximal runs of ``min_words`` words or more, as (start, end,
     reference, its start), that it shares with its references; of a reference those
-    that documents share with it.
-
-    ``around``: of each reference, the positions of its recurring seeds; ``refs_of``: of
-    each document, its references.
+    that documents share with it. ``refs_of``: of each document, its references.
     """
     ids = _Ids()
     arrays = {d: np.fromiter(map(ids.__getitem__, words_of(t)), np.int64, -1) for d, t in texts.items()}
     tile = min_words // 2
     tiles: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for ref, positions in around.items():
-        words = arrays.get(ref)
-        if words is None:
-            continue
-        wanted = set()
-        for p in positions:
-            lo, hi = max(0, p + k - min_words), min(len(words), p + min_words)
-            wanted.update(range(-(-lo // tile), hi // tile))
-        for t in sorted(wanted):
+    for ref in sorted({r for refs in refs_of.values() for r in refs}):
+        words = arrays.get(ref, ())
+        for t in range(len(words) // tile):
             tiles[tuple(words[t * tile : (t + 1) * tile].tolist())][ref].append(t * tile)
     found: dict[int, list[tuple]] = defaultdict(list)
     if not tiles:
@@ -136,14 +157,14 @@ def runs(texts: dict[int, str], around: dict[int, list[int]], refs_of: dict[int,
         automaton.add_word(key, places)
     automaton.make_automaton()
     for doc, refs in refs_of.items():
-        words = arrays.get(doc)
+        words, refs = arrays.get(doc), set(refs)
         if words is None:
             continue
         covered: dict[tuple[int, int], int] = {}
         for end, places in automaton.iter(tuple(words.tolist())):
             start = end - tile + 1
-            for ref in refs:
-                for at in places.get(ref, ()):
+            for ref in places.keys() & refs:
+                for at in places[ref]:
                     diagonal = (ref, start - at)
                     if start < covered.get(diagonal, -1):
                         continue
@@ -176,17 +197,15 @@ def _spans(text: str, n_words: int) -> list[tuple[int, int]] | None:
 _OUT = "doc_id long, start_word int, end_word int, start_char int, end_char int, ref_doc_id long, ref_start_word int, run_words int"
 
 
-def _locator(min_words: int, k: int):
+def _locator(min_words: int):
     def locate(table: pa.Table) -> pa.Table:
-        texts, around, refs_of = {}, {}, {}
-        for doc, text, at, refs in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "at", "refs"))):
+        texts, refs_of = {}, {}
+        for doc, text, refs in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "refs"))):
             texts[doc] = min(texts.get(doc, text), text)
-            if at:
-                around[doc] = at
             if refs:
                 refs_of[doc] = sorted(refs)
         out: list[list] = [[] for _ in range(8)]
-        for doc, found in runs(texts, around, refs_of, min_words, k).items():
+        for doc, found in runs(texts, refs_of, min_words).items():
             spans = _spans(texts[doc], len(words_of(texts[doc])))
             for s, e, ref, rs in longest(found):
                 for column, value in zip(out, (doc, s, e, spans[s][0] if spans else None, spans[e - 1][1] if spans else None, ref, rs, e - s)):
@@ -242,29 +261,19 @@ def recurring_runs(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     one document doesn't count. Empty in, empty out. Other columns aren't looked at.
     """
     texts = keyed_texts(docs)
-    seeds = materialise(texts.mapInArrow(_seeder(min_words, seed_words), "h long, doc_id long, pos int, words int"), "seeds")
-    refs = (
-        seeds.groupBy("h")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("last"))
-        .where("ref.doc_id < last")
-        .select("h", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"))
-    )
-    hits = materialise(seeds.join(refs, "h").select("doc_id", "words", "ref_id", "ref_pos"), "hits")
-    pairs = hits.where("doc_id <> ref_id").groupBy("doc_id", "ref_id").agg(F.max("words").alias("words"))
+    seeds = materialise(texts.mapInArrow(_seeder(min_words, seed_words), "h long, doc_id long"), "seeds")
+    recurring = seeds.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
+    hits = materialise(seeds.join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")), "hits")
+    windows = texts.join(hits.hint("shuffle_hash"), "doc_id").mapInArrow(_windower(min_words, seed_words), "w long, doc_id long, words int")
+    windows = windows.withColumn("ref_id", F.min("doc_id").over(Window.partitionBy("w")))
+    pairs = materialise(windows.where("doc_id <> ref_id").groupBy("doc_id", "ref_id").agg(F.max("words").alias("words")), "pairs")
     load = materialise(pairs.groupBy("ref_id").agg(F.sum("words").alias("n")), "loads")
     total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
     load = load.select("ref_id", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"), F.ceil(F.col("n") / SHARD_WORDS).cast("int").alias("subs"))
     routed = pairs.join(load, "ref_id").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub"), "doc_id", "ref_id")
-    at = hits.groupBy("ref_id").agg(F.collect_set("ref_pos").alias("at"))
-    owners = load.join(at, "ref_id").select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("ref_id").alias("doc_id"), "at")
-    plan = (
-        routed.select("shard", "sub", "doc_id", F.expr("CAST(NULL AS array<int>)").alias("at"), "ref_id")
-        .unionByName(owners.withColumn("ref_id", F.lit(None).cast("long")))
-        .groupBy("shard", "sub", "doc_id")
-        .agg(F.flatten(F.collect_list("at")).alias("at"), F.collect_set("ref_id").alias("refs"))
-    )
-    plan = materialise(plan, "routes")
+    owners = load.select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("ref_id").alias("doc_id"), F.lit(None).cast("long").alias("ref_id"))
+    plan = materialise(routed.unionByName(owners).groupBy("shard", "sub", "doc_id").agg(F.collect_set("ref_id").alias("refs")), "routes")
     # the plan is the side that is built: texts pass by it unsorted, at any size alike
     whole = texts.join(plan.hint("shuffle_hash"), "doc_id")
-    return _longest(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words, seed_words), _OUT))
+    return _longest(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words), _OUT))
