@@ -36,6 +36,12 @@ def test_query(spark, sf_dir, sql, name):
         assert "lsh" in name and list(got.columns)
 
 
+@pytest.mark.parametrize("method", ["euclidean", "cosine"])
+def test_every_vector_is_a_query(spark, sf_dir, method):
+    got = catalogue.QUERIES[f"knn_batch_all_{method}"](spark, sf_dir).groupBy("query_id").count().collect()
+    assert len(got) == catalogue.embeddings(spark, sf_dir).count() and all(r["count"] == 5 for r in got)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 10
     assert set(contract.oracle_sql()) <= set(contract.queries())

@@ -146,6 +146,17 @@ def _search_queries(method: str) -> None:
         found = search.nearest_batch(frame, queries, 5, method)
         return found.select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
 
+    @register(
+        f"knn_batch_all_{method}",
+        f"""SELECT query_id, id, round(d, 6) AS distance, rank FROM (
+              SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::INT AS rank
+              FROM (SELECT b_id AS query_id, id, {DISTANCE[method]} AS d FROM (SELECT a.id, a.v, b.id AS b_id, b.v AS q FROM {E} a, {E} b))) WHERE rank <= 5""",
+    )
+    def batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = embeddings(spark, sf_dir)
+        found = search.nearest_batch(frame, frame.select(F.col("id").alias("query_id"), "vector"), 5, method)
+        return found.select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
+
 
 for _method in vectors.METHODS:
     _search_queries(_method)
