@@ -157,6 +157,16 @@ def test_contamination_against_brute_force(leaks, limit):
     assert got == wanted and {d for d, _ in got} == {900 + i for i in range(10)}
 
 
+def test_repetitive_items_are_found_at_either_size(spark):
+    rng = random.Random(9)
+    items = [(1, "again " * 40), (2, "yes no " * 40), (3, " ".join("0123"[i % 4] for i in range(90)))]
+    docs = spark.createDataFrame([(i, " ".join(prose(rng, 30)) + " " + t + " " + " ".join(prose(rng, 30))) for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (D.BROADCAST_CHARS, 0):
+        got = {(r.doc_id, r.item_id, r.coverage) for r in D.contaminated(docs, bench, broadcast_chars=limit).collect()}
+        assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
+
+
 def test_contaminated_documents_go(leaks):
     docs, bench, *_ = leaks
     kept = D.drop_contaminated(docs, bench)

@@ -150,8 +150,8 @@ def _windows(min_match: int, least: int):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) >= least:
-                    found, first = np.unique(rolling(known.of(words), min_match), return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64)), pa.array(first.astype(np.int32))], [batch.schema.names[0], "h", "p"])
+                    found, places = np.unique(rolling(known.of(words), min_match), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64)), pa.array(places.astype(np.int32)), pa.array(np.full(len(found), len(words), np.int32))], [batch.schema.names[0], "h", "places", "words"])
 
     return windows
 
@@ -188,13 +188,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         index = Index(sorted((r.item_id, r.item) for r in items.collect()), min_match)
         found = texts.mapInArrow(_by_index(docs.sparkSession.sparkContext.broadcast(index), threshold, min_match), _OUT)
     else:
-        in_items = items.mapInArrow(_windows(min_match, MIN_ITEM_WORDS), "item_id long, h long, p int")
-        in_docs = texts.mapInArrow(_windows(min_match, min_match), "doc_id long, h long, p int").select("doc_id", "h")
-        need = F.ceil(F.lit(threshold) * F.col("n") / min_match)
-        n_words = items.select("item_id", F.size(F.regexp_extract_all("item", F.lit(r"(?U)(\w+)"), 1)).alias("n"))
-        pairs = in_docs.join(in_items, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-        # a window that an item repeats counts once here, so the bound allows for a fourth
-        pairs = materialise(pairs.join(n_words.groupBy("item_id").agg(F.min("n").alias("n")), "item_id").where(F.col("shared") * 4 >= need).select("doc_id", "item_id"), "pairs")
+        in_items = items.mapInArrow(_windows(min_match, MIN_ITEM_WORDS), "item_id long, h long, places int, words int")
+        in_docs = texts.mapInArrow(_windows(min_match, min_match), "doc_id long, h long, places int, words int").select("doc_id", "h")
+        # the places of shared windows cover min_match words each at most, so no pair that reaches the threshold is left out
+        shared = in_docs.join(in_items, "h").groupBy("doc_id", "item_id").agg(F.sum("places").alias("places"), F.min("words").alias("words"))
+        pairs = materialise(shared.where(F.col("places") * min_match >= F.lit(threshold) * F.col("words")).select("doc_id", "item_id"), "pairs")
         found = pairs.join(texts, "doc_id").join(items, "item_id").mapInArrow(_by_pair(threshold, min_match), _OUT)
     best = F.max(F.struct("coverage", "tiles", "item_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", "best.tiles", "best.item_words")
