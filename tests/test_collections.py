@@ -252,3 +252,22 @@ def test_streaming_ingest(engine, tmp_path):
     stream = engine.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     ingest(stream, c, str(tmp_path / "cp")).awaitTermination()
     assert ids_of(c) == [0, 1, 9]
+
+
+@pytest.mark.parametrize("scale", [0.01, 1.0, 300.0])
+def test_approximate_search_at_any_scale(engine, scale):
+    rng = np.random.default_rng(4)
+    data = np.concatenate([c + rng.normal(size=(50, 16)) * 0.3 for c in rng.normal(size=(20, 16)) * 2]) * scale
+    c = engine.create_collection("scales", 16, distance_function="euclidean")
+    c.upsert([(i, v.tolist(), {}) for i, v in enumerate(data)])
+    c.build_index()
+    found = searched = 0
+    for i in range(0, 1000, 125):
+        best = np.argsort(np.linalg.norm(data - data[i], axis=1))[:10].tolist()
+        near = c.search(data[i].tolist(), k=10, precision="medium")
+        found += len(set(best) & set(ids(near)))
+        searched += near.percent_searched
+    assert found >= 72 and searched / 8 < 60
+    d = np.linalg.norm(data - data[3], axis=1)
+    wide = float(np.sort(d)[400])
+    assert len(ids(c.search(data[3].tolist(), radius=wide, precision="medium"))) >= 0.9 * (d <= wide).sum()

@@ -91,6 +91,7 @@ class Collection:
         self.embedder = embedder or HashingEmbedder(options.dimension_count)
         self._embed_query = QueryEmbedder(self.embedder)
         self.default_precision, self.reference_quirks = default_precision, reference_quirks
+        self._fitted: tuple[int, lsh.Hasher | None] = (-2, None)
 
     # --- opening ---------------------------------------------------------------------
 
@@ -226,8 +227,13 @@ class Collection:
             return frame.withColumn("_m", F.expr("try_parse_json(metadata)")), compile_filter(node, VariantSource(F.col("_m")), self.reference_quirks)
         return frame, F.udf(lambda i, m: bool(filter(i, m)), "boolean")(F.col("id"), F.col("metadata"))
 
-    def hasher(self, **kwargs) -> lsh.Hasher:
-        return lsh.Hasher(self.options.distance_method, self.options.dimension_count, **kwargs)
+    def hasher(self) -> lsh.Hasher:
+        """The index's hasher, or else one fitted to the vectors of the current version."""
+        if self.has_index():
+            return lsh.Hasher(**json.loads(self.files.read(f"{self._index_name()}/_hasher.json")))
+        if self._fitted[0] != (version := self.version):
+            self._fitted = version, lsh.fitted(self.frame(), self.options.distance_method, self.options.dimension_count)
+        return self._fitted[1]
 
     def search(
         self,
@@ -246,7 +252,10 @@ class Collection:
         * Neither k nor radius: a page of them (offset, limit; distance 0), by id.
         * k: the k nearest to vector, or to text, which wins over it.
         * radius: all up to that distance; k is then ignored.
-        * Either with a precision other than "exact": approximate, through hashing.
+        * Either with a precision other than "exact": approximate, through hashing fitted to
+          the collection's vectors. Where hashing finds too few records, or a record as far
+          as the last one found could be missed by more than one chance in ten, the search
+          is exact.
 
         The filter, a text of the filter language, a Column or a function of (id,
         metadata), comes before distances. Offset and limit count for pages only. A
@@ -271,13 +280,16 @@ class Collection:
         if (k <= 0 and radius <= 0) or (radius <= 0 and k < 0):
             return SearchResults(self.spark.createDataFrame([], "id long, metadata string, distance double"), lambda: 0.0, took)
         method, q = self.options.distance_method, vectors.literal(query)
+        exact = SearchResults(search.within(rows, q, radius, method, predicate) if radius > 0 else search.nearest(rows, q, k, method, predicate), lambda: 100.0 if frame.count() else 0.0, took)
         if (precision or self.default_precision) == "exact":
-            found = search.within(rows, q, radius, method, predicate) if radius > 0 else search.nearest(rows, q, k, method, predicate)
-            return SearchResults(found, lambda: 100.0 if frame.count() else 0.0, took)
+            return exact
         hasher = self.hasher()
         near = lambda rows: lsh.probed(rows, f"{self.path}/{self._index_name()}", query, hasher) if self.has_index() else lsh.candidates(lsh.hashed(rows, hasher), query, hasher).drop("keys")
         chosen, predicate = self.filtered(near(frame), filter)
         found = search.within(chosen, q, radius, method, predicate) if radius > 0 else search.nearest(chosen, q, k, method, predicate)
+        last = None if radius > 0 else found.agg(F.count("id").alias("n"), F.max("distance").alias("far")).first()
+        if (last and last.n < k) or hasher.chance(last.far if last else radius) < lsh.RECALL:
+            return exact
 
         def percent() -> float:
             total = frame.count()
@@ -289,7 +301,7 @@ class Collection:
         return f"index-v={self.version}"
 
     def has_index(self) -> bool:
-        return self.files.exists(f"{self._index_name()}/_SUCCESS")
+        return self.files.exists(f"{self._index_name()}/_hasher.json")
 
     def build_index(self) -> None:
         """Store the hash keys of the current version, for approximate search to probe. Until a
@@ -299,7 +311,9 @@ class Collection:
         for old in self.files.names():
             if old.startswith("index-"):
                 self.files.delete(old)
-        lsh.write_index(self.frame(), self.hasher(), f"{self.path}/{self._index_name()}")
+        hasher = self.hasher()
+        lsh.write_index(self.frame(), hasher, f"{self.path}/{self._index_name()}")
+        self.files.write(f"{self._index_name()}/_hasher.json", json.dumps(asdict(hasher)))
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, distance, rank) for each of many queries (query_id, vector)."""

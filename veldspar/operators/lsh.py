@@ -12,7 +12,7 @@ alone, so an index can be stored as a column of the collection.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from .search import measured
+from .search import measured, nearest_batch
+
+#: Chance to share a probed key that a neighbour must have, and the one that hashers are fitted to.
+RECALL, FITTED = 0.9, 0.97
+#: Most tables of a fitted hasher; vectors on which data is measured.
+MAX_TABLES, SAMPLE = 64, 32
 
 
 @dataclass(frozen=True)
@@ -80,6 +85,44 @@ class Hasher:
             found.append(self._keys(cells))
         return np.unique(np.concatenate(found))
 
+    def chance(self, distance: float, trials: int = 200) -> float:
+        """The chance that a vector at this distance from a query has one of its probed keys,
+        over random queries and directions."""
+        rng = np.random.default_rng(self.seed + 1)
+        x, u = rng.normal(size=(2, trials, self.dimensions))
+        if self.method == "euclidean":
+            x *= 100 * self.width * self.dimensions**0.5
+            y = x + distance * u / np.linalg.norm(u, axis=1, keepdims=True)
+        else:
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            u -= (u * x).sum(axis=1, keepdims=True) * x
+            u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+            y = np.cos(np.pi * distance) * x + np.sin(np.pi * distance) * u
+        return float(np.mean([np.isin(key, self.probes(q)).any() for q, key in zip(x, self.keys(y))]))
+
+
+def for_distance(method: str, dimensions: int, distance: float, recall: float = FITTED) -> Hasher:
+    """A hasher that finds vectors up to a distance: by wider cells, or by more tables."""
+    hasher = Hasher(method, dimensions)
+    if not distance > 0:
+        return hasher
+    if method == "euclidean":
+        hasher = replace(hasher, width=2 * distance / dimensions**0.5)
+        while hasher.chance(distance) < recall:
+            hasher = replace(hasher, width=hasher.width * 1.25)
+    else:
+        while hasher.tables < MAX_TABLES and hasher.chance(distance) < recall:
+            hasher = replace(hasher, tables=hasher.tables + 4)
+    return hasher
+
+
+def fitted(frame: DataFrame, method: str, dimensions: int, k: int = 10) -> Hasher:
+    """A hasher for the scale of the data: of ``SAMPLE`` of its vectors, the distance to the
+    k-th neighbour among all vectors is measured, and nine tenths of these are covered."""
+    sample = frame.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.col("id").alias("query_id"), "vector")
+    far = [r.d for r in nearest_batch(frame, sample, k + 1, method).groupBy("query_id").agg(F.max("distance").alias("d")).collect()]
+    return for_distance(method, dimensions, float(np.quantile(far, 0.9)) if far else 0.0)
+
 
 def hashed(frame: DataFrame, hasher: Hasher) -> DataFrame:
     """The frame with ``keys array<long>``, a key for each table."""

@@ -119,13 +119,13 @@ def _search_queries(method: str) -> None:
     @register(f"knn_lsh_{method}")
     def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
         q, frame = query_vector(spark, sf_dir), embeddings(spark, sf_dir)
-        hasher = lsh.Hasher(method, len(q))
+        hasher = lsh.fitted(frame, method, len(q))
         return shown(lsh.nearest(lsh.hashed(frame, hasher), q, 10, hasher))
 
     @register(f"radius_lsh_{method}")
     def radius_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
         q, frame = query_vector(spark, sf_dir), embeddings(spark, sf_dir)
-        hasher = lsh.Hasher(method, len(q))
+        hasher = lsh.for_distance(method, len(q), r)
         return shown(lsh.within(lsh.hashed(frame, hasher), q, r, hasher))
 
     @register(f"avg_pairwise_distance_{method}", f"SELECT round(avg({DISTANCE[method]}), 6) AS average_distance FROM (SELECT a.v, b.v AS q FROM {E} a JOIN {E} b ON a.id < b.id)")
