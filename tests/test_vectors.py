@@ -134,6 +134,21 @@ def test_similar_pairs(spark):
     assert pairs == {(i, i + 30) for i in range(30)}
 
 
+def test_pairs_up_to_the_radius_are_found(spark):
+    rng = np.random.default_rng(7)
+    base, u = rng.normal(size=(2, 300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    u -= (u * base).sum(axis=1, keepdims=True) * base
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    turn = np.pi * np.linspace(0.15, 0.199, 300)[:, None]
+    data = np.concatenate([base, np.cos(turn) * base + np.sin(turn) * u])
+    frame = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(data)], "id long, vector array<double>, metadata string")
+    hasher = lsh.for_pairs(64, 0.2)
+    assert 1 - (1 - 0.8**hasher.bits) ** hasher.tables >= 0.9
+    pairs = {(r.a, r.b) for r in lsh.similar_pairs(lsh.hashed(frame, hasher), 0.2, hasher).collect()}
+    assert len(pairs & {(i, i + 300) for i in range(300)}) >= 270
+
+
 def test_record_operators(spark):
     old = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b"), (3, [3.0], None)], "id long, vector array<double>, metadata string")
     new = spark.createDataFrame([(2, [9.0], "n"), (4, [4.0], "d")], old.schema)

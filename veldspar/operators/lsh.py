@@ -101,6 +101,13 @@ class Hasher:
         return float(np.mean([np.isin(key, self.probes(q)).any() for q, key in zip(x, self.keys(y))]))
 
 
+def for_pairs(dimensions: int, radius: float, bits: int = 12, recall: float = RECALL) -> Hasher:
+    """An angular hasher of which two vectors at the radius share a key with a chance of
+    ``recall`` at least, without probing."""
+    same = max((1 - radius) ** bits, 1e-9)
+    return Hasher("cosine", dimensions, tables=max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-same)))) if same < 1 else 1, bits=bits)
+
+
 def for_distance(method: str, dimensions: int, distance: float, recall: float = FITTED) -> Hasher:
     """A hasher that finds vectors up to a distance: by wider cells, or by more tables."""
     hasher = Hasher(method, dimensions)

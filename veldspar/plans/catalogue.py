@@ -202,7 +202,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("similar_pairs_lsh")
 def similar_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hasher = lsh.Hasher("cosine", len(query_vector(spark, sf_dir)), tables=8, bits=12)
+    hasher = lsh.for_pairs(len(query_vector(spark, sf_dir)), 0.2)
     return lsh.similar_pairs(lsh.hashed(embeddings(spark, sf_dir), hasher), 0.2, hasher).select("a", "b", six(F.col("distance")).alias("distance"))
 
 
