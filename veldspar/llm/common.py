@@ -43,19 +43,31 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hash of every window of k words, modulo 2**64 and mixed.
 
-    The k multiply-adds run over the whole array at once.
+    Windows are put together of shorter ones, by the bits of k: the hash of a + b words is
+    that of the first a times the base to the power b, plus that of the last b.
     """
-    n = len(hashes) - k + 1
-    if n <= 0:
+    if len(hashes) < k:
         return np.empty(0, np.uint64)
-    out, base = hashes[:n].copy(), np.uint64(_BASE)
-    for i in range(1, k):
-        out *= base
-        out += hashes[i : i + n]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return out
+    whole, size = None, 0
+    part, span = hashes.astype(np.uint64), 1
+    while True:
+        if k & span:
+            n = len(hashes) - size - span + 1
+            if whole is None:
+                whole = part[:n].copy()
+            else:
+                whole = whole[:n] * np.uint64(pow(_BASE, span, 1 << 64))
+                whole += part[size : size + n]
+            size += span
+        if size == k:
+            break
+        longer = part[: len(part) - span] * np.uint64(pow(_BASE, span, 1 << 64))
+        longer += part[span:]
+        part, span = longer, span * 2
+    whole ^= whole >> np.uint64(31)
+    whole *= np.uint64(0xBF58476D1CE4E5B9)
+    whole ^= whole >> np.uint64(29)
+    return whole
 
 
 def shared_dir(spark: SparkSession) -> str:
