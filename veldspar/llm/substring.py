@@ -13,9 +13,10 @@
 4. In a shard, the references are cut into tiles of 25 words, which an automaton over
    word ids is compiled of. All the shard's documents stream through it, and each
    tile found is extended, word by word, as far as document and reference agree. What
-   reaches ``MIN_WORDS`` is a confirmed run, a row with its own reference; a run
-   inside another one with the same reference is left out, so that what repeats many
-   times in a document gives no row for each pair of places.
+   reaches ``MIN_WORDS`` is a confirmed run, a row with its own reference, if it has a
+   window of that many words that no run before it with the same reference has. So
+   every shared window is in a row, while what repeats many times in both texts gives
+   no row for each pair of places.
    A run of 49 words or more always holds a whole tile, so none is missed.
 
 A reference that very many documents share has several shards, each with the
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -136,10 +138,41 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def runs(texts: dict[int, str], refs_of: dict[int, list[int]], min_words: int = MIN_WORDS) -> dict[int, list[tuple]]:
-    """Of each document the maximal runs of ``min_words`` words or more, as (start, end,
-    reference, its start), that it shares with its references; of a reference those
-    that documents share with it. ``refs_of``: of each document, its references.
+class _Windows:
+    """Hashes of the windows of a shard's documents, computed when asked for."""
+
+    def __init__(self, arrays: dict[int, np.ndarray], min_words: int) -> None:
+        self.arrays, self.n = arrays, min_words
+        self.hashes: dict[int, np.ndarray] = {}
+        self.sorted: dict[int, np.ndarray] = {}
+
+    def of(self, doc: int) -> np.ndarray:
+        if doc not in self.hashes:
+            mixed = self.arrays[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            self.hashes[doc] = rolling(mixed * np.uint64(0xBF58476D1CE4E5B9), self.n)
+        return self.hashes[doc]
+
+    def shared(self, doc: int, ref: int) -> np.ndarray:
+        """Of each window of the document, whether the reference has it."""
+        if ref not in self.sorted:
+            self.sorted[ref] = np.unique(self.of(ref))
+        own, theirs = self.of(doc), self.sorted[ref]
+        if not len(theirs):
+            return np.zeros(len(own), bool)
+        at = np.searchsorted(theirs, own)
+        at[at == len(theirs)] = 0
+        return theirs[at] == own
+
+
+def runs(texts: dict[int, str], refs_of: dict[int, list[int]], min_words: int = MIN_WORDS) -> tuple[dict[int, list[list]], dict[int, int]]:
+    """Of each document runs of ``min_words`` words or more, as [start, end, reference, its
+    start, words], that it shares with its references. Each is maximal, has a window that
+    no earlier one with the same reference has, and together they have all shared windows.
+    A passage that overlaps itself, as repeated words do, is one row from its first place
+    to the end of its last. Of a reference itself, the stretches all of whose windows
+    these documents have. And how many words each document has.
+    ``refs_of``: of each document, its references.
     """
     ids = _Ids()
     arrays = {d: np.fromiter(map(ids.__getitem__, words_of(t)), np.int64, -1) for d, t in texts.items()}
@@ -149,49 +182,88 @@ def runs(texts: dict[int, str], refs_of: dict[int, list[int]], min_words: int =
         words = arrays.get(ref, ())
         for t in range(len(words) // tile):
             tiles[tuple(words[t * tile : (t + 1) * tile].tolist())][ref].append(t * tile)
-    found: dict[int, list[tuple]] = defaultdict(list)
+    found: dict[int, list[list]] = defaultdict(list)
+    sizes = {d: len(a) for d, a in arrays.items()}
     if not tiles:
-        return found
+        return found, sizes
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for key, places in tiles.items():
         automaton.add_word(key, places)
     automaton.make_automaton()
+    windows, sharers = _Windows(arrays, min_words), defaultdict(list)
     for doc, refs in refs_of.items():
         words, refs = arrays.get(doc), set(refs)
         if words is None:
             continue
-        covered: dict[tuple[int, int], int] = {}
+        todo: dict[int, np.ndarray] = {}  # of references, the shared windows that are in no run yet
+        compared: dict[tuple[int, int], int] = {}  # of diagonals, how far
+        last: dict[tuple[int, int, int], list] = {}  # of passages of references, their last row
         for end, places in automaton.iter(tuple(words.tolist())):
             start = end - tile + 1
             for ref in places.keys() & refs:
+                if ref not in todo:
+                    todo[ref] = windows.shared(doc, ref)
+                left_over = todo[ref]
+                with_tile = left_over[max(0, start - min_words + tile) : start + 1]
+                if not with_tile.any():
+                    continue
+                other = arrays[ref]
                 for at in places[ref]:
                     diagonal = (ref, start - at)
-                    if start < covered.get(diagonal, -1):
+                    if start < compared.get(diagonal, -1):
                         continue
-                    other = arrays[ref]
                     right = _agree(words[start:], other[at:])
                     left = _agree(words[:start][::-1], other[:at][::-1])
-                    covered[diagonal] = start + right
-                    if left + right >= min_words:
-                        found[doc].append((start - left, start + right, ref, at - left))
-                        found[ref].append((at - left, at + right, ref, at - left))
-    return found
-
-
-def longest(found: list[tuple]) -> list[tuple]:
-    """A document's runs without those that lie inside another run with the same reference;
-    of runs with the same ends, the one that comes first in the reference."""
+                    s, e = start - left, start + right
+                    compared[diagonal] = e
+                    if e - s < min_words or not left_over[s : e - min_words + 1].any():
+                        continue
+                    left_over[s : e - min_words + 1] = False
+                    passage = (ref, at - left, e - s)
+                    if passage in last and s <= last[passage][1] - min_words + 1:
+                        last[passage][1] = e
+                    else:
+                        last[passage] = [s, e, ref, at - left, e - s]
+                        found[doc].append(last[passage])
+                    if not with_tile.any():
+                        break
+        found[doc] = longest(found[doc])
+        for ref in todo:
+            sharers[ref].append(doc)
+    for ref, docs in sharers.items():
+        theirs = np.unique(np.concatenate([windows.of(d) for d in docs]))
+        own = np.flatnonzero(np.isin(windows.of(ref), theirs))
+        for stretch in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+            s, e = int(stretch[0]), int(stretch[-1]) + min_words
+            found[ref].append([s, e, ref, s, e - s])
+    return found, sizes
+
+
+def longest(found: list[list]) -> list[list]:
+    """A document's runs without those that lie inside another one with the same reference."""
     kept, reach = [], {}
-    for row in sorted(set(found), key=lambda r: (r[2], r[0], -r[1], r[3])):
+    for row in sorted(found, key=lambda r: (r[2], r[0], -r[1], r[3])):
         if row[1] > reach.get(row[2], -1):
             kept.append(row)
             reach[row[2]] = row[1]
     return kept
 
 
-def _spans(text: str, n_words: int) -> list[tuple[int, int]] | None:
-    spans = [m.span() for m in WORD.finditer(text)]
-    return spans if len(spans) == n_words else None  # lower-casing can split a word
+@cache
+def _letters() -> np.ndarray:
+    """Of each code point, whether it is part of words."""
+    every = "".join(map(chr, range(0x110000)))
+    table = np.zeros(len(every), bool)
+    for m in WORD.finditer(every):
+        table[m.start() : m.end()] = True
+    return table
+
+
+def _spans(text: str, n_words: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Where the words of a text begin and end; None if lower-casing splits one."""
+    inside = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+    return (edges[::2], edges[1::2]) if len(edges) == 2 * n_words else None
 
 
 _OUT = "doc_id long, start_word int, end_word int, start_char int, end_char int, ref_doc_id long, ref_start_word int, run_words int"
@@ -205,10 +277,11 @@ def _locator(min_words: int):
             if refs:
                 refs_of[doc] = sorted(refs)
         out: list[list] = [[] for _ in range(8)]
-        for doc, found in runs(texts, refs_of, min_words).items():
-            spans = _spans(texts[doc], len(words_of(texts[doc])))
-            for s, e, ref, rs in longest(found):
-                for column, value in zip(out, (doc, s, e, spans[s][0] if spans else None, spans[e - 1][1] if spans else None, ref, rs, e - s)):
+        all_found, sizes = runs(texts, refs_of, min_words)
+        for doc, found in all_found.items():
+            spans = _spans(texts[doc], sizes[doc])
+            for s, e, ref, rs, n in found:
+                for column, value in zip(out, (doc, s, e, int(spans[0][s]) if spans else None, int(spans[1][e - 1]) if spans else None, ref, rs, n)):
                     column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         names = [c.split()[0] for c in _OUT.split(", ")]
@@ -217,11 +290,15 @@ def _locator(min_words: int):
     return locate
 
 
-def _longest(found: DataFrame) -> DataFrame:
-    """longest() over the rows of all shards: a reference can be in several."""
-    w = Window.partitionBy("doc_id", "ref_doc_id").orderBy("start_word", F.desc("end_word"), "ref_start_word")
+def _own(found: DataFrame, min_words: int) -> DataFrame:
+    """References' own rows, of all shards: a reference can be in several, so stretches that
+    have all windows between them are put together."""
+    w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("_reach", reach).where("_reach IS NULL OR end_word > _reach").drop("_reach")
+    new = F.coalesce(F.col("start_word") > reach - (min_words - 1), F.lit(True)).cast("int")
+    islands = found.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("doc_id", "_island").agg(*(f(c).alias(c) for c, f in (("start_word", F.min), ("end_word", F.max), ("start_char", F.min), ("end_char", F.max))))
+    return whole.select("doc_id", "start_word", "end_word", "start_char", "end_char", F.col("doc_id").alias("ref_doc_id"), F.col("start_word").alias("ref_start_word"), (F.col("end_word") - F.col("start_word")).alias("run_words"))
 
 
 def _joined(found: DataFrame) -> DataFrame:
@@ -248,10 +325,16 @@ def recurring_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words:
 def recurring_runs(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Where documents have passages of ``min_words`` words or more that others have too.
 
-    A row is a maximal run that a document shares with a reference document, run_words
-    long, which begins at ref_start_word in document ref_doc_id; in a reference's own row
-    that is the document itself. Runs with several references can overlap, and each has
-    its row; only a run inside another one of the same document and reference has none.
+    A row is a maximal run that a document shares with a reference document: run_words
+    words, from ref_start_word in document ref_doc_id on. From left to right a run has a
+    row if it has a window of ``min_words`` that none before it with the same reference
+    has, so all shared windows are in rows and each reference of a document has some; one
+    inside another with the same reference has none. A
+    passage of repeated words, which agrees with itself at other offsets, has one row for
+    overlapping places, from the start of the first to the end of the last; elsewhere
+    end_word - start_word is run_words. A reference's own rows (ref_doc_id is the document
+    itself) are the stretches all of whose windows others have that refer to it.
+
     Words are runs of letters and digits, compared without case; start_word and end_word
     count them (end exclusive), start_char and end_char are offsets into text, null where
     lower-casing changes how a text divides into words.
@@ -276,4 +359,6 @@ def recurring_runs(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     plan = materialise(routed.unionByName(owners).groupBy("shard", "sub", "doc_id").agg(F.collect_set("ref_id").alias("refs")), "routes")
     # the plan is the side that is built: texts pass by it unsorted, at any size alike
     whole = texts.join(plan.hint("shuffle_hash"), "doc_id")
-    return _longest(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words), _OUT))
+    found = materialise(whole.groupBy("shard", "sub").applyInArrow(_locator(min_words), _OUT), "runs")
+    # a document meets a reference in one shard only, but a reference its documents in several
+    return found.where("doc_id <> ref_doc_id").unionByName(_own(found.where("doc_id = ref_doc_id"), min_words))
