@@ -36,21 +36,109 @@ def test_winnowing_has_one_in_every_window():
     assert S.winnow(h[:3], 7).tolist() == np.flatnonzero(h[:3] == h[:3].min()).tolist() and len(S.winnow(h[:0], 7)) == 0
 
 
+def windows(words, n):
+    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def check_runs(rows, texts, n=S.MIN_WORDS):
+    """Every row is a maximal run, and the rows of a document with a reference have all the
+    windows that the two share; the references are those of the definition."""
+    words = {i: words_of(t) for i, t in texts.items()}
+    wins = {i: windows(w, n) for i, w in words.items()}
+    least, by_pair = {}, defaultdict(list)
+    for i in sorted(wins):
+        for w in wins[i]:
+            least.setdefault(w, i)
+    for r in rows:
+        by_pair[r.doc_id, r.ref_doc_id].append(r)
+    due = {(i, least[w]) for i in wins for w in wins[i] if least[w] != i}
+    assert {p for p in by_pair if p[0] != p[1]} == due and {p[0] for p in by_pair if p[0] == p[1]} == {r for _, r in due}
+    covered = defaultdict(set)
+    for (doc, ref), found in by_pair.items():
+        mine, theirs = words[doc], words[ref]
+        others = set(wins[ref]) if doc != ref else {w for d, r in due if r == ref for w in wins[d]}
+        shared, had = {i for i, w in enumerate(wins[doc]) if w in others}, set()
+        for r in found:
+            s, e, at, k = r.start_word, r.end_word, r.ref_start_word, r.run_words
+            assert n <= k <= e - s and mine[s : s + k] == theirs[at : at + k] == mine[e - k : e]
+            if doc != ref:  # neither end can be moved
+                assert not (s and at and mine[s - 1] == theirs[at - 1])
+                assert not (e < len(mine) and at + k < len(theirs) and mine[e] == theirs[at + k])
+            had |= set(range(s, e - n + 1))
+            covered[doc] |= set(range(s, e))
+        assert had == shared
+        ends = sorted((r.start_word, r.end_word) for r in found)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(ends, ends[1:]))
+        if doc == ref:
+            assert all(b[0] > a[1] - n + 1 for a, b in zip(ends, ends[1:]))
+    assert dict(covered) == covered_by_force(texts, n)
+
+
 def test_occurrences_against_brute_force(corpus, odd):
-    rows = S.recurring_passages(odd).collect()
-    texts = dict(corpus)
-    wanted, got = covered_by_force(texts, S.MIN_WORDS), defaultdict(set)
+    texts, rows = dict(corpus), S.recurring_runs(odd).collect()
+    check_runs(rows, texts)
     for r in rows:
-        assert not got[r.doc_id] & set(range(r.start_word - 1, r.end_word + 1))
-        got[r.doc_id].update(range(r.start_word, r.end_word))
-        mine, theirs = words_of(texts[r.doc_id])[r.start_word : r.end_word], words_of(texts[r.ref_doc_id])
-        best = theirs[r.ref_start_word : r.ref_start_word + r.run_words]
-        assert S.MIN_WORDS <= r.run_words <= len(mine) and any(mine[i : i + r.run_words] == best for i in range(len(mine)))
-        assert words_of(texts[r.doc_id][r.start_char : r.end_char]) == mine
-    assert got.keys() == wanted.keys()
-    assert sum(len(got[i] & wanted[i]) for i in wanted) >= 0.95 * sum(map(len, wanted.values()))
-    assert all(got[i] <= wanted[i] for i in got)
-    assert {300 + i for i in range(6)} <= got.keys() and not {30, 404, 405, 406, 400} & got.keys()
+        assert words_of(texts[r.doc_id][r.start_char : r.end_char]) == words_of(texts[r.doc_id])[r.start_word : r.end_word]
+    found = {r.doc_id for r in rows}
+    assert {300 + i for i in range(6)} <= found and not {30, 404, 405, 406, 400} & found
+    regions = defaultdict(set)
+    for r in S.recurring_passages(odd).collect():
+        assert not regions[r.doc_id] & set(range(r.start_word - 1, r.end_word + 1))
+        regions[r.doc_id].update(range(r.start_word, r.end_word))
+    assert dict(regions) == covered_by_force(texts, S.MIN_WORDS)
+
+
+def repetitive(rng, n):
+    """Texts of few words, repeated words, lines that come again, and parts of one another."""
+    lines = [prose(rng, rng.randint(3, 40)) for _ in range(8)]
+    texts = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.random()
+            if kind < 0.3:
+                parts += [rng.choice("ab")] * rng.randint(20, 130)
+            elif kind < 0.5:
+                parts += (rng.choice(lines) * 30)[: rng.randint(30, 160)]
+            elif kind < 0.7 and texts:
+                other = rng.choice(texts)
+                at = rng.randrange(len(other))
+                parts += other[at : at + rng.randint(40, 150)]
+            else:
+                parts += prose(rng, rng.randint(5, 60))
+        texts.append(parts)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("shard_words", [S.SHARD_WORDS, 400])
+def test_repetitive_texts_against_brute_force(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(S, "SHARD_WORDS", shard_words)
+    texts = repetitive(random.Random(12), 120)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_runs(S.recurring_runs(docs).collect(), texts)
+
+
+def test_very_long_repeated_words_take_few_rows(spark):
+    rng = random.Random(4)
+    texts = {1: "again " * 300_000, 2: "again " * 200_000 + " ".join(prose(rng, 100)), 3: " ".join(prose(rng, 20) + ["again"] * 60 + prose(rng, 20))}
+    rows = S.recurring_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    spans = lambda i: {(r.start_word, r.end_word, r.ref_doc_id, r.run_words) for r in rows if r.doc_id == i}
+    assert spans(1) == {(0, 300_000, 1, 300_000)}
+    assert spans(2) == {(0, 200_000, 1, 200_000)} and spans(3) == {(20, 80, 1, 60)}
+
+
+def test_partial_quotes_with_small_ids_hide_nothing(spark):
+    """40 passages of 60 words, each shared by two documents, and for each two documents of
+    lower ids that quote 48 words of it: the 80 are found, the 80 that quote less are not."""
+    rng, texts = random.Random(21), {}
+    for n in range(40):
+        passage = prose(rng, 60)
+        texts[4 * n], texts[4 * n + 1] = prose(rng, 40) + passage[:48] + prose(rng, 40), prose(rng, 40) + passage[12:] + prose(rng, 40)
+        texts[4 * n + 2], texts[4 * n + 3] = prose(rng, 30) + passage + prose(rng, 30), prose(rng, 50) + passage + prose(rng, 50)
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    rows = S.recurring_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    check_runs(rows, texts)
+    assert {r.doc_id for r in rows} == {i for i in texts if i % 4 >= 2}
 
 
 def test_several_shards_give_the_same(odd, monkeypatch):
@@ -167,6 +255,46 @@ def test_repetitive_items_are_found_at_either_size(spark):
         assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
 
 
+def test_short_items_must_be_whole(spark):
+    rng = random.Random(10)
+    seven, four, three = prose(rng, 7), prose(rng, 4), prose(rng, 3)
+    long = prose(rng, 8)
+    items = [(1, " ".join(seven)), (2, " ".join(four)), (3, " ".join(three)), (4, " ".join(long))]
+    texts = [(1, prose(rng, 20) + seven + prose(rng, 20)), (2, four + three), (3, prose(rng, 9) + seven[:6] + prose(rng, 9)), (4, long[:4] + prose(rng, 5)), (5, seven[3:] + prose(rng, 2) + seven[:3])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (D.BROADCAST_CHARS, 40, 0):
+        got = {(r.doc_id, r.item_id, r.coverage, r.tiles, r.item_words) for r in D.contaminated(docs, bench, broadcast_chars=limit).collect()}
+        assert got == {(1, 1, 1.0, 1, 7), (2, 2, 1.0, 1, 4), (4, 4, 0.5, 1, 8)}
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench, whole_words=0).collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 1)}
+
+
+def test_tiles_of_repetitive_texts_against_definition():
+    rng = random.Random(2)
+    for _ in range(300):
+        n, letters = rng.randint(1, 5), rng.choice(["a", "ab", "abcdef"])
+        item = [rng.choice(letters) for _ in range(rng.randint(0, 25))]
+        doc = [rng.choice(letters) for _ in range(rng.randint(0, 40))]
+        assert D.tile(item, doc, None, n) == force_tiles(item, doc, n)
+
+
+def test_a_million_repeated_words(spark):
+    words = [(1, "again " * 1_000_000), (2, "yes no " * 500_000 + "end")]
+    docs = spark.createDataFrame(words, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "again " * 400), (2, "no yes " * 150), (3, "again " * 20 + " ".join(map(str, range(30))))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.coverage, r.tiles) for r in D.contaminated(docs, bench, threshold=0.4).collect()}
+    assert got == {(1, 1, 1.0, 1), (2, 2, 1.0, 1), (1, 3, 0.4, 1)}
+
+
+def test_slices_of_the_benchmark(leaks):
+    docs, bench, *_ = leaks
+    rows = lambda limit: set(D.contaminated(docs, bench, broadcast_chars=limit).collect())
+    items = bench.selectExpr("item_id", "text AS item").where("item_id IS NOT NULL AND item IS NOT NULL")
+    cut, slices = D._slices(items.distinct(), 1500)
+    assert len(slices) > 2 and max(r["sum(length(item))"] for r in cut.groupBy("slice").agg(F.sum(F.length("item"))).collect()) <= 1500
+    assert rows(1500) == rows(D.BROADCAST_CHARS)
+
+
 def test_contaminated_documents_go(leaks):
     docs, bench, *_ = leaks
     kept = D.drop_contaminated(docs, bench)
