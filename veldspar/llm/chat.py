@@ -31,13 +31,22 @@ def role_cost(role: str | None, to: str) -> int:
     return RELABEL if role in ROLES else NAME
 
 
-@lru_cache(100_000)
-def repair(roles: tuple[str | None, ...]) -> tuple[int, tuple[tuple[str, tuple[int, ...]], ...]]:
+Plan = tuple[int, tuple[tuple[str, tuple[int, ...]], ...]]
+
+#: Turns of the longest sequence whose repair a worker remembers, and how many it remembers: some 50 MB at most.
+REMEMBERED_TURNS, REMEMBERED_PLANS = 32, 8192
+
+
+def repair(roles: tuple[str | None, ...]) -> Plan:
     """(cost, turns of the repaired conversation as (role, numbers of the turns merged in it)).
 
     Of repairs of one cost the one is taken that reaches it with the first of: keep or
     relabel, merge, insert; then by the order of ROLES. No turns at all need none.
     """
+    return _remembered(roles) if len(roles) <= REMEMBERED_TURNS else _solved(roles)
+
+
+def _solved(roles: tuple[str | None, ...]) -> Plan:
     if not roles:
         return 0, ()
     # state -> (cost, link); a link is (link before, action, role, number)
@@ -72,17 +81,20 @@ def repair(roles: tuple[str | None, ...]) -> tuple[int, tuple[tuple[str, tuple[i
     states = with_inserts(states)
     cost, link = min((states[r] for r in FINAL if r in states), key=lambda s: s[0])
     turns: list[tuple[str, tuple[int, ...]]] = []
-    merged: tuple[int, ...] = ()
+    merged: list[int] = []  # last first
     while link is not None:
         link, action, role, i = link
-        if action == "merge":
-            merged = (i, *merged)
-        else:
-            turns.append((role, (i, *merged) if action == "turn" else merged))
-            merged = ()
+        if action != "insert":
+            merged.append(i)
+        if action != "merge":
+            turns.append((role, tuple(reversed(merged))))
+            merged = []
     return cost, tuple(reversed(turns))
 
 
+_remembered = lru_cache(REMEMBERED_PLANS)(_solved)
+
+
 def _plan(roles: pd.Series) -> pd.DataFrame:
     plans = [repair(tuple(r)) for r in roles]
     return pd.DataFrame({"cost": [c for c, _ in plans], "turns": [[{"role": r, "members": list(m)} for r, m in t] for _, t in plans]})
