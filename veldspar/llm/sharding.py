@@ -72,6 +72,12 @@ class SlotMap:
         """Adds this version under ``path``; one that is there already is an error."""
         self.frame(spark).drop("map_version").coalesce(1).write.mode("error").parquet(f"{path}/map_version={self.version}")
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> SlotMap | None:
+        """The latest version under ``path``; None where there is none yet."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return SlotMap.load(spark, path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A version of the map, the latest by default."""
@@ -98,20 +104,25 @@ def placed(docs: DataFrame, slot_map: SlotMap) -> DataFrame:
     return kept.select("*", slot_of(F.col("doc_id"), slots).alias("slot"), shard.alias("shard"), F.lit(slot_map.version).alias("map_version"))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, path: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with slot, shard and map_version, of a map balanced for their bytes.
 
-    Version 1 of the map deals slots out in turn; version 2 is version 1, edited for the
-    bytes that were counted. Both are stored under ``path``, by default in the shared
-    folder. A null text has no bytes, a null id slot 0; rows of one id share a slot.
-    Without rows, or without bytes, no slot moves.
+    Where ``path`` has no map, its version 1 deals slots out in turn. The latest version,
+    edited for the bytes that were counted and for ``shards``, is stored as the next one,
+    which docs are placed by; so each call on a path goes on from the one before. Without
+    ``path`` the map is in a new place in the shared folder. A null text has no bytes, a
+    null id slot 0; rows of one id share a slot. Without rows, or without bytes, no slot
+    moves.
     """
     spark = docs.sparkSession
     path = path or table_path(spark, "slot_map")
-    first = SlotMap.initial(SLOTS, shards)
-    first.save(spark, path)
-    first.rebalanced(slot_bytes(docs)).save(spark, path)
-    return placed(docs, SlotMap.load(spark, path))
+    last = SlotMap.latest(spark, path)
+    if last is None:
+        last = SlotMap.initial(SLOTS, shards)
+        last.save(spark, path)
+    now = last.rebalanced(slot_bytes(docs, len(last.assigned)), shards, tolerance)
+    now.save(spark, path)
+    return placed(docs, now)
 
 
 #: DuckDB, for sharded(documents) without the text.
