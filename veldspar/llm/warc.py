@@ -9,6 +9,7 @@ frame at a time, and every record is checked before it becomes a row.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from .common import column_values, table_path
 MAGIC_DICTIONARY, MAGIC_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 SUFFIX = ".warc.zst"
 MANDATORY = ("warc-record-id", "warc-type", "warc-date", "content-length")
-#: Bytes that a record may have once decompressed, bytes read from a file at once, bytes of dictionary, pages it is trained on and characters each may have.
-MAX_RECORD, READ, DICTIONARY, TRAINING_PAGES, TRAINING_CHARS = 1 << 28, 1 << 20, 64 << 10, 400, 1 << 18
+#: Bytes that a record may have once decompressed (a row of Spark can't hold more), bytes read from a file at once, bytes of dictionary.
+MAX_RECORD, READ, DICTIONARY = (1 << 31) - (1 << 20), 1 << 20, 64 << 10
+#: Pieces of pages that the dictionary is trained on, and characters of a piece.
+TRAINING_PIECES, PIECE_CHARS = 400, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 
 SCHEMA = "file string, position long, warc_type string, record_id string, target_uri string, headers map<string,string>, payload binary, error string"
@@ -80,11 +83,17 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes | None, str | None]:
 # --- files ----------------------------------------------------------------------
 
 
+#: Schemes that Spark and Arrow know by different names.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI (file, hdfs, s3, gs...), and the path there."""
+    """The file system of a URI and the path there. Schemes: file, hdfs and viewfs (with the
+    Hadoop native library on the executors), s3 (s3a), gs and abfs."""
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def dictionary_frame(dictionary: bytes, compressed: bool = True) -> bytes:
@@ -95,7 +104,9 @@ def dictionary_frame(dictionary: bytes, compressed: bool = True) -> bytes:
 def frames(stream, read: int = READ, limit: int = MAX_RECORD) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(position, decompressed frame, what is wrong) of the frames of an archive.
 
-    What can't be decompressed ends the file, as the next frame's place isn't known.
+    A record of more than ``limit`` bytes is read to its end, but not kept, and those after
+    it follow. What can't be decompressed ends the file, as the next frame's place isn't
+    known.
     """
     buffer, position, ended = b"", 0, False
 
@@ -138,10 +149,10 @@ def frames(stream, read: int = READ, limit: int = MAX_RECORD) -> Iterator[tuple[
                 piece = unit.decompress(buffer)
                 used += len(buffer)
                 total += len(piece)
-                out.append(piece)
-                if total > limit:
-                    yield position, None, f"a record of more than {limit} bytes"
-                    return
+                if total <= limit:
+                    out.append(piece)
+                else:
+                    out.clear()
                 if unit.eof:
                     break
                 buffer = stream.read(read)
@@ -153,7 +164,10 @@ def frames(stream, read: int = READ, limit: int = MAX_RECORD) -> Iterator[tuple[
             return
         buffer = unit.unused_data
         used -= len(buffer)
-        yield position, b"".join(out), None
+        if total > limit:
+            yield position, None, f"a record of more than {limit} bytes"
+        else:
+            yield position, b"".join(out), None
         position += used
 
 
@@ -209,8 +223,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class WarcZst(DataSource):
     """spark.read.format("warc_zst").load(path): a file, or a folder of *.warc.zst.
 
-    A row for each record. Of one that fails a check, ``error`` says what is wrong and
-    payload is null; its row stays, with such headers as were read. After a frame that
+    A row for each record. Of one that fails a check or is too long for a row, ``error`` says
+    what is wrong and payload is null; its row stays, with such headers as were read. After a frame that
     can't be decompressed a file has no further rows. An empty file has none.
     """
 
@@ -235,6 +249,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
     """A dictionary of pages; empty if they are too few or too small to learn from."""
+    samples = [s for s in samples if len(s) >= 8]
+    if sum(map(len, samples)) < 1024:  # the library's trainer crashes on a handful of bytes
+        return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -259,7 +276,9 @@ def _writer(path: str, shared):
                     payload = (html or "").encode("utf-8", "surrogatepass")
                     extra = {"X-Page-Id": "" if page is None else str(page), "X-Null": ",".join(k for k, v in (("url", url), ("html", html)) if v is None)}
                     if url is not None:
-                        extra["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
+                        extra["WARC-Target-URI"] = plain = url.strip().replace("\r", "%0D").replace("\n", "%0A")
+                        if plain != url:  # a header can't have it as it is
+                            extra["X-Url"] = json.dumps(url)
                     extra["WARC-Block-Digest"] = "sha256:" + hashlib.sha256(payload).hexdigest()
                     out.write(packer.compress(record("resource", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{part}/{count}')}>", payload, **extra)))
                     count += 1
@@ -274,17 +293,21 @@ def _writer(path: str, shared):
     return write
 
 
-def write_archives(pages: DataFrame, path: str) -> int:
+def write_archives(pages: DataFrame, path: str, training_pieces: int = TRAINING_PIECES, piece_chars: int = PIECE_CHARS) -> int:
     """Pages as resource records, an archive for each partition; how many there are.
 
-    The dictionary is trained on the ``TRAINING_PAGES`` pages whose ids have the least hashes.
+    The dictionary is trained on a bounded sample, which decides how small archives are and
+    nothing else: pages are seen as pieces of ``piece_chars`` characters, and those with the
+    ``training_pieces`` least hashes are taken, wherever in a page they are.
     """
     spark = pages.sparkSession
     columns = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    hashed = columns.where(F.length("html") <= TRAINING_CHARS).select("html", F.xxhash64("page_id", "url").alias("h"))
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.length("html") - 1) / piece_chars).cast("int")))
+    hashed = columns.where("html <> ''").select("page_id", "url", "html", pieces.alias("piece")).withColumn("h", F.xxhash64("page_id", "url", "piece"))
     # the hashes first, so that what tasks send to the driver doesn't grow with their number
-    least = hashed.select("h").distinct().orderBy("h").limit(TRAINING_PAGES).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= least).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if least is not None else []
+    least = hashed.select("h").distinct().orderBy("h").limit(training_pieces).agg(F.max("h")).first()[0]
+    text = F.substring(F.col("html"), F.col("piece") * piece_chars + 1, F.lit(piece_chars))
+    chosen = hashed.where(F.col("h") <= least).select("h", text.alias("html")).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if least is not None else []
     dictionary = train_dictionary([r.html.encode("utf-8", "surrogatepass") for r in chosen])
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
@@ -296,15 +319,18 @@ def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     (page_id, url, html, error).
 
     Null pages, ids and urls stay null, repeated rows stay repeated, an empty table gives
-    no rows. Line breaks in a url are written as %0D and %0A.
+    no rows. A url comes back as it was: where a header can't have it (white space at its
+    ends, line breaks), the header has it trimmed, with %0D and %0A, and one of its own has
+    the whole. Pages may be as long as a string of Spark can be.
     """
     spark = pages.sparkSession
     path = path or table_path(spark, "archives")
     write_archives(pages, path)
     absent = F.col("headers")["x-null"]
+    whole = F.get(F.from_json(F.concat(F.lit("["), F.col("headers")["x-url"], F.lit("]")), "array<string>"), F.lit(0))
     return read_archives(spark, path).select(
         F.expr("try_cast(nullif(headers['x-page-id'], '') AS bigint)").alias("page_id"),
-        F.when(~F.contains(absent, F.lit("url")), F.coalesce("target_uri", F.lit(""))).alias("url"),
+        F.when(~F.contains(absent, F.lit("url")), F.coalesce(whole, F.col("target_uri"), F.lit(""))).alias("url"),
         F.when(~F.contains(absent, F.lit("html")), F.col("payload").cast("string")).alias("html"),
         "error",
     )
