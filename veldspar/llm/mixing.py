@@ -100,19 +100,30 @@ def expected_copies(docs: DataFrame, weights: dict[str | None, float] | None = N
     Weights that aren't given are bytes ** alpha, which lifts small sources. Where
     weights are given, a source they don't name has none. Without ``total_bytes`` the
     mixture is the smallest that needs no weighted source cut: the least rate is 1.
-    A source without any bytes is left as it is, at rate 1.
+    A source without any bytes is left as it is, at rate 1. No rows in, no rows out.
+
+    Sources may be many, as domains are: they stay a table, of which the driver sees two
+    sums. Weights are added up as decimals, so that their order doesn't matter.
     """
+    spark = docs.sparkSession
     sizes = docs.select(F.col("source").cast("string").alias("source"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes")).groupBy("source").agg(F.sum("bytes").alias("bytes"))
-    rows = sorted(((r.source, r.bytes) for r in sizes.collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    weight = {s: (float(b) ** alpha if b else 0.0) if weights is None else float(weights.get(s, 0.0)) for s, b in rows}
-    if any(w < 0 for w in weight.values()):
-        raise ValueError("weights can't be negative")
-    whole = sum(weight[s] for s, b in rows if b)
-    share = {s: weight[s] / whole if whole and b else 0.0 for s, b in rows}
-    rates = [share[s] / b for s, b in rows if b and share[s]]
-    total = total_bytes if total_bytes is not None else (1 / min(rates) if rates else 0.0)
-    out = [(s, b, share[s], total * share[s] / b if b else 1.0) for s, b in rows]
-    return docs.sparkSession.createDataFrame(out, "source string, bytes long, share double, rate double")
+    if weights is None:
+        weighed = sizes.withColumn("weight", F.when(F.col("bytes") > 0, F.pow(F.col("bytes").cast("double"), F.lit(alpha))).otherwise(F.lit(0.0)))
+    else:
+        if any(w < 0 for w in weights.values()):
+            raise ValueError("weights can't be negative")
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_s string, _w double")
+        weighed = sizes.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "bytes", F.coalesce("_w", F.lit(0.0)).alias("weight"))
+    weighed = materialise(weighed, "sources")
+    counts = F.col("bytes") > 0
+    whole = float(weighed.where(counts).agg(F.coalesce(F.sum(F.col("weight").cast("decimal(28,9)")), F.lit(0))).first()[0])
+    share = F.when(counts, F.col("weight") / whole).otherwise(F.lit(0.0)) if whole else F.lit(0.0)
+    shared = weighed.select("source", "bytes", share.alias("share"))
+    total = total_bytes
+    if total is None:
+        least = shared.where("share > 0").agg(F.min(F.col("share") / F.col("bytes"))).first()[0]
+        total = 1 / least if least else 0.0
+    return shared.withColumn("rate", F.when(F.col("bytes") > 0, F.lit(float(total)) * F.col("share") / F.col("bytes")).otherwise(F.lit(1.0)))
 
 
 def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, total_bytes: float | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -121,8 +132,6 @@ def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, tota
     Rows of one source that share a doc_id, null ids too, are one document. A null
     source is a source. No rows in, no rows out. Columns other than doc_id, source and
     text aren't looked at.
-
-    The number of sources is taken to be small, as their weights are set by hand.
     """
     rates = expected_copies(docs, weights, total_bytes, alpha).select(F.col("source").alias("_s"), F.floor(F.col("rate") * ONE + 0.5).cast("long").alias("_mass"))
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -146,7 +155,9 @@ def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, tota
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, total_bytes: float | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The mixture: each row of docs as often as its document has copies; columns stay."""
+    """The mixture: each row of docs as often as its document has copies; columns stay. Rows
+    without source or doc_id count like others, repeated rows come as often each; an empty
+    table stays empty."""
     chosen = materialise(copies(docs, weights, total_bytes, alpha, seed).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("copies").alias("_n")), "copies")
     same = docs["doc_id"].cast("long").eqNullSafe(chosen["_d"]) & docs["source"].cast("string").eqNullSafe(chosen["_s"])
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
