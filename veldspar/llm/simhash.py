@@ -105,6 +105,8 @@ class _Votes:
 
 
 def features(text: str) -> set[str]:
+    """The distinct words that vote. A run of more than ``_LONG`` letters, as scripts without
+    spaces have, counts by its character 5-grams."""
     found = set(WORD.findall(text.lower()))
     for w in [w for w in found if len(w) > _LONG]:
         found.discard(w)
@@ -113,7 +115,8 @@ def features(text: str) -> set[str]:
 
 
 def fingerprint(text: str, votes: _Votes | None = None) -> bytes | None:
-    """BITS bits, padded with zeros to whole 64-bit words; None for a text without words."""
+    """BITS bits, padded with zeros to whole 64-bit words; None for a text without words. Words
+    of more than ``_LONG`` (40) characters count by their 5-grams, see ``features``."""
     found = features(text)
     if not found:
         return None
@@ -328,7 +331,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
     keep_id is the group's smallest doc_id; its own row has keep_id = doc_id. Near
     means that the fingerprints differ in ``max_distance`` bits at most; groups are
-    the connected components of that relation. Documents without an id, with null
+    the connected components of that relation. Words count once each, those of more than
+    40 characters by their 5-grams. Documents without an id, with null
     text or without a single word belong to no group. Rows that repeat a doc_id are
     one document; of different texts the least fingerprint counts. Ties can't arise: ids order everything. No rows in, no rows out.
     Columns other than doc_id and text are not looked at.
