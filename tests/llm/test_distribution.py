@@ -41,6 +41,20 @@ def test_map_versions_are_kept(spark, tmp_path):
         second.save(spark, path)
 
 
+def test_a_stored_map_is_edited(spark, odd, tmp_path):
+    path, odd = str(tmp_path / "map"), odd.where("text IS NULL OR length(text) < 5000")
+    slots = lambda d: {r.doc_id: (r.slot, r.shard, r.map_version) for r in d.select("doc_id", "slot", "shard", "map_version").collect()}
+    first = slots(sharding.sharded(odd, 4, path))
+    assert {v for *_, v in first.values()} == {2}
+    again = slots(sharding.sharded(odd, 4, path))
+    assert again == {i: (s, x, 3) for i, (s, x, _) in first.items()}
+    more = slots(sharding.sharded(odd, 5, path))
+    assert {v for *_, v in more.values()} == {4} and {i: s for i, (s, *_) in more.items()} == {i: s for i, (s, *_) in first.items()}
+    assert {x for _, x, _ in more.values()} == set(range(5))
+    moved = sum(a != b for a, b in zip(sharding.SlotMap.load(spark, path, 3).assigned, sharding.SlotMap.load(spark, path, 4).assigned))
+    assert 0 < moved < sharding.SLOTS // 3 and sharding.SlotMap.load(spark, path, 1) == sharding.SlotMap.initial(sharding.SLOTS, 4)
+
+
 def test_sharded_rows(odd, empty):
     rows = sharding.sharded(odd)
     assert rows.columns == [c for c in odd.columns if c not in ("slot", "shard")] + ["slot", "shard", "map_version"]
@@ -132,6 +146,17 @@ def test_target_weights(odd):
         mixing.expected_copies(odd, {"s0": -1})
 
 
+def test_many_sources_stay_a_table(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 3000) AS source", "repeat('x', cast(id % 7 as int)) AS text")
+    rates = {r.source: r for r in mixing.expected_copies(docs).collect()}
+    assert len(rates) == 3000 and sum(r.share for r in rates.values()) == pytest.approx(1)
+    weighed = [r for r in rates.values() if r.bytes]
+    whole = sum(r.bytes**mixing.ALPHA for r in weighed)
+    assert min(r.rate for r in weighed) == pytest.approx(1) and all(r.share == pytest.approx(r.bytes**mixing.ALPHA / whole) for r in weighed)
+    assert all(r.rate == 1 for r in rates.values() if not r.bytes)
+    assert {r.source: r.rate for r in mixing.expected_copies(docs.repartition(7)).collect()} == {s: r.rate for s, r in rates.items()}
+
+
 def test_mixed_rows(odd, empty):
     got = mixing.mixed(odd, alpha=0.5)
     assert got.columns == odd.columns
@@ -150,7 +175,27 @@ def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_pipeline_against_its_parts(spark, tmp_path, odd):
+@pytest.mark.parametrize("table", ["odd", "empty"])
+def test_pipeline_on_odd_tables(spark, tmp_path, odd, empty, table):
+    """Nulls, repeated rows, clashing names, very long and empty texts; and no rows at all."""
+    docs = {"odd": odd, "empty": empty}[table]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame([(1, " ".join(odd.where("doc_id = 3").first().text.split()[:40])), (None, "x"), (2, None), (3, "")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.columns == [c for c in docs.columns if c not in ("slot", "shard")] + ["slot", "shard", "map_version"]
+    found = Counter(r.doc_id for r in rows.select("doc_id").collect())
+    if table == "empty":
+        assert not found
+        return
+    texts = {r.doc_id: r.text for r in odd.where("doc_id IS NOT NULL").collect()}
+    assert found.keys() <= texts.keys() | {None}
+    assert not found.keys() & {3, 103, 400, 402, 500} and not found.keys() & {100 + i for i in range(10)}
+    assert {i for i in range(60) if i != 3} <= found.keys() and {405, 406} & found.keys() and found[5] % 3 == 0
+    assert rows.where("slot IS NULL OR shard IS NULL").count() == 0
+
+
+def test_pipeline_against_its_parts(spark):
     """Each stage's rows against the operator's own decisions, recomputed apart."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -126,6 +126,40 @@ def test_tokens_round_trip(odd, empty, corpus):
     assert enc.decode(back[3]) == dict(corpus)[3]
 
 
+def naive_pack(ids, width, block):
+    """Bit by bit, from the definition."""
+    out, offsets = bytearray(), [0]
+    for at in range(0, len(ids), block):
+        number = sum(int(i) << width * n for n, i in enumerate(ids[at : at + block]))
+        out += number.to_bytes(-(-len(ids[at : at + block]) * width // 8), "little")
+        offsets.append(len(out))
+    return bytes(out), offsets
+
+
+@pytest.mark.parametrize("vocabulary", [bitpack.VOCABULARY, 70_001, 200_000])
+def test_packed_bytes_against_a_naive_packer(odd, corpus, vocabulary):
+    """With 16 bits as production has them, and with 17 and 18."""
+    width, enc = bitpack.width_of(vocabulary), bitpack.encoder(bitpack.TOKENIZER)
+    rows = {r.doc_id: r for r in bitpack.packed_tokens(odd, vocabulary=vocabulary, block=100).where("doc_id IS NOT NULL").collect()}
+    for i, text in corpus:
+        if len(text) < 5000:
+            ids, r = enc.encode_ordinary(text), rows[i]
+            assert (bytes(r.packed), r.offsets) == naive_pack(ids, width, 100) and (r.n_tokens, r.width) == (len(ids), width)
+
+
+def test_the_query_against_a_naive_packer(spark, tmp_path, corpus):
+    from veldspar.llm.queries import QUERIES
+
+    spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    enc = bitpack.encoder(bitpack.TOKENIZER)
+    rows = {r.doc_id: r for r in QUERIES["op2_token_bitpack"](spark, str(tmp_path)).collect()}
+    assert rows.keys() == dict(corpus).keys()
+    for i, text in corpus:
+        if len(text) < 100_000:
+            ids = enc.encode_ordinary(text)
+            assert (bytes(rows[i].packed), rows[i].offsets) == naive_pack(ids, 16, bitpack.BLOCK) and rows[i].n_tokens == len(ids)
+
+
 def test_long_texts_are_encoded_alike_in_pieces(corpus):
     text = "\n".join(t for _, t in corpus[:40]) + "  two  spaces 12 3a"
     enc = bitpack.encoder(bitpack.TOKENIZER)
@@ -234,6 +268,23 @@ def test_a_long_conversation(spark):
     assert legal(r.roles.split(",")) and r.chat.count("t" * 50) == 3000
 
 
+def test_repairs_remembered_are_short(spark):
+    rng = random.Random(3)
+    long = tuple(rng.choice(chat.ROLES) for _ in range(500))
+    before = chat._remembered.cache_info().currsize
+    cost, turns = chat.repair(long)
+    assert chat._remembered.cache_info().currsize == before and cost >= 0 and [i for _, m in turns for i in m] == list(range(500))
+    merged = chat.repair(("user",) * 20_000 + ("assistant",))
+    assert [i for _, m in merged[1] for i in m] == list(range(20_001)) and legal([r for r, _ in merged[1]])
+    assert chat.repair(long[:20]) is chat.repair(long[:20])
+
+
+def test_a_very_long_turn(spark):
+    rows = [(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", "<|" * 10)]
+    r = chat.formatted_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert r.chat.count("x") == 3_000_000 and r.cost == 0 and "<\\|" * 10 in r.chat
+
+
 # --- archives -----------------------------------------------------------------------------------
 
 
@@ -281,6 +332,41 @@ def test_broken_files():
     assert "more than 1000" in list(warc.frames(io.BytesIO(big), limit=1000))[-1][2]
 
 
+def test_records_after_a_large_one_are_read():
+    small = [warc.record("resource", f"<{i}>", b"s%d" % i) for i in range(3)]
+    large = warc.record("resource", "<a>", bytes(range(256)) * 40)
+    data = packed(small[0], large, small[1], large, small[2])
+    for read in (1, 100, 1 << 20):
+        found = list(warc.frames(io.BytesIO(data), read=read, limit=1000))
+        assert [f[1] for f in found] == [small[0], None, small[1], None, small[2]]
+        assert [f[2] for f in found] == [None, "a record of more than 1000 bytes"] * 2 + [None]
+        whole = list(warc.frames(io.BytesIO(data), read=read))
+        assert [f[0] for f in whole] == [f[0] for f in found] and whole[1][1] == large
+
+
+def test_urls_come_back_as_they_were(spark, tmp_path):
+    urls = [" http://a/ ", "http://a/b c", "x\r\ny", "\n", "  ", "", None, 'q"\\é', "\tt", "%0A"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("h"))
+    got = {r.page_id: (r.url, r.error) for r in warc.archived_pages(pages, f"file://{tmp_path}/u").collect()}
+    assert got == {i: (u, None) for i, u in enumerate(urls)}
+
+
+def test_the_dictionary_learns_from_all_parts_of_pages(spark, tmp_path):
+    """Of pages far longer than a piece, pieces anywhere are chosen; rows don't depend on it."""
+    rng = random.Random(6)
+    pages = [(i, f"u{i}", "".join(f"<p class='{rng.choice('abc')}'>{rng.random()}</p>" for _ in range(2000))) for i in range(4)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for pieces, chars in ((400, 1 << 18), (300, 500), (5, 1000)):
+        path = f"{tmp_path}/d{pieces}-{chars}"
+        assert warc.write_archives(frame, f"file://{path}", pieces, chars) == 4
+        assert {bytes(r.payload).decode() for r in warc.read_archives(spark, f"file://{path}").collect()} == {h for *_, h in pages}
+
+
+@pytest.mark.parametrize("uri", ["file:/a/b", "file:///a/b", "/a/b"])
+def test_local_paths(uri):
+    assert warc.filesystem(uri)[1] == "/a/b" and warc.SCHEMES["s3a"] == "s3"
+
+
 def test_records_are_validated():
     good = warc.record("resource", "<urn:1>", b"body", **{"WARC-Target-URI": "http://a"})
     headers, payload, error = warc.parse(good)
