@@ -1,16 +1,20 @@
 """Collections: life, changes, search façade, catalogue, exchange, embedding, streaming."""
 
+import http.server
 import io
 import json
 import random
+import threading
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veldspar import storage
 from veldspar.cli import main
 from veldspar.collection import Collection, CollectionOptions
-from veldspar.embed import HashingEmbedder, LetterEmbedder, QueryEmbedder
+from veldspar.embed import HashingEmbedder, HttpEmbedder, LetterEmbedder, QueryEmbedder, embedded
 from veldspar.engine import Engine, EngineConfig
 from veldspar.sources import exchange
 from veldspar.streaming.ingest import ingest
@@ -79,7 +83,7 @@ def test_modes_of_search(engine):
     assert c.has_index() and ids(c.search([50, 50], k=3, precision="medium")) == before
     assert c.search([50, 50], k=3, precision="medium", filter="x == 1").collect() == []
     c.remove([0])
-    assert not c.has_index()
+    assert c.has_index() and 0 not in ids(c.search([50, 50], k=9, precision="medium")) and len(ids(c.search([50, 50], k=9, precision="medium"))) == 9
 
 
 def test_ids_get_update_remove(engine):
@@ -219,7 +223,7 @@ def test_embedders(spark):
     q = QueryEmbedder(e)
     q("a"), q("a"), q("b")
     assert q.cache_info().hits == 1 and q.cache_info().maxsize == 100
-    row = spark.createDataFrame([("abca",)], "t string").select(LetterEmbedder().column(F.col("t")).alias("v")).first()
+    row = spark.createDataFrame([("abca",)], "t string").select(embedded(F.col("t"), LetterEmbedder()).alias("v")).first()
     assert row.v == LetterEmbedder().embed(["abca"])[0]
 
 
@@ -271,3 +275,189 @@ def test_approximate_search_at_any_scale(engine, scale):
     d = np.linalg.norm(data - data[3], axis=1)
     wide = float(np.sort(d)[400])
     assert len(ids(c.search(data[3].tolist(), radius=wide, precision="medium"))) >= 0.9 * (d <= wide).sum()
+
+
+# --- approximate search with nothing set --------------------------------------------------
+
+FIXTURES = {
+    # name: distance, k, vectors, query, and less than so much of 100 is to be searched
+    "C1": ("cosine", 10, lambda rng: rng.random((20_000, 3)), lambda rng: rng.random(3), 20),
+    "C2": ("euclidean", 5, lambda rng: rng.random((100, 3)) * 100, lambda rng: rng.random(3) * 100, 100.1),
+    "C6": ("euclidean", 5, lambda rng: rng.random((10, 2)) * 100, lambda rng: np.array([50.0, 50.0]), 100.1),
+    "C7": ("cosine", 5, lambda rng: np.arange(1000)[:, None] + np.arange(3.0), lambda rng: np.array([50.0, 51, 52]), 50),
+    "far": ("euclidean", 10, lambda rng: rng.normal(size=(3000, 32)) + 1e5, lambda rng: rng.normal(size=32) + 1e5, 60),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_approximate_search_of_the_fixtures(engine, name):
+    method, k, make, ask, most = FIXTURES[name]
+    rng = np.random.default_rng(0)
+    data = make(rng)
+    c = engine.create_collection(name, data.shape[1], distance_function=method)
+    c.upsert(engine.spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(data)], "id long, vector array<double>, metadata string"))
+    hits = 0
+    for _ in range(4):
+        q = ask(rng).tolist()
+        near, true = c.search(q, k=k, precision="medium"), c.search(q, k=k)
+        got, wanted = near.collect(), true.collect()
+        assert len(got) == len(wanted) == k and near.percent_searched < most and true.percent_searched == 100
+        assert all(a.distance <= 2 * b.distance + 1e-9 for a, b in zip(got, wanted))
+        hits += len({r.id for r in got} & {r.id for r in wanted})
+    assert hits >= 0.9 * 4 * k
+    radius = wanted[-1].distance
+    assert len(ids(c.search(q, radius=radius, precision="medium"))) >= 0.9 * len(ids(c.search(q, radius=radius)))
+    queries = engine.spark.createDataFrame([(i, data[i].tolist()) for i in range(0, len(data), max(1, len(data) // 25))], "query_id long, vector array<double>")
+    batch, exact = c.search_batch_approximate(queries, k).collect(), c.search_batch(queries, k).collect()
+    assert len(batch) == len(exact)
+    assert len({(r.query_id, r.id) for r in batch} & {(r.query_id, r.id) for r in exact}) >= 0.9 * len(exact)
+
+
+def test_approximate_search_of_odd_collections(engine):
+    for method in ("cosine", "euclidean"):
+        c = engine.create_collection(f"odd-{method}", 3, distance_function=method)
+        assert c.search([1, 2, 3], k=4, precision="medium").collect() == [] and not c.has_index()
+        c.upsert([(1, [0, 0, 0], None), (2, [1, 1, 1], "{}"), (3, [1, 1, 1], None), (4, [-1, -1, -1], None)])
+        for q in ([1, 1, 1], [0, 0, 0], [-5, 2, 0]):
+            for k in (1, 4):
+                exact, near = c.search(q, k=k), c.search(q, k=k, precision="medium")
+                assert [(r.id, r.distance) for r in near.collect()] == [(r.id, r.distance) for r in exact.collect()]
+            for radius in (0.1, 1.0):
+                assert ids(c.search(q, radius=radius, precision="medium")) == ids(c.search(q, radius=radius))
+        assert ids(c.search([1, 1, 1], k=2, precision="medium", filter=F.col("id") > 2)) == ids(c.search([1, 1, 1], k=2, filter=F.col("id") > 2))
+
+
+def test_seeds_come_from_the_settings(spark, tmp_path):
+    made = [Engine(spark, EngineConfig(str(tmp_path / str(n)), random_seed=seed)).create_collection("s", 4) for n, seed in enumerate((7, 7, 8))]
+    for c in made:
+        c.upsert([(i, [i, 1, 2, i % 3], None) for i in range(20)])
+    sketches = [sorted(map(str, c.store.rows(c.store.manifest()).select("id", "_s0").collect())) for c in made]
+    assert sketches[0] == sketches[1] != sketches[2]
+
+
+# --- changes ------------------------------------------------------------------------------
+
+
+def test_a_change_writes_what_it_changes(engine):
+    c = engine.create_collection("large", 8, distance_function="euclidean")
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist(), "{}") for i, v in enumerate(rng.normal(size=(5000, 8)))]
+    c.upsert(engine.spark.createDataFrame(rows, "id long, vector array<double>, metadata string"))
+    base, size = c.store.manifest().base, c.store.size(c.store.manifest())
+    c.upsert([(17, [1.0] * 8, "new"), (9999, [2.0] * 8, None)])
+    c.update_metadata(18, {"a": 1})
+    c.remove([19, 123456])
+    now = c.store.manifest()
+    assert now.base == base and len(now.changes) == 3 and c.store.size(now) - size < size / 5
+    assert len(c) == 5000 and c.get(17).vector == [1.0] * 8 and c.get(17).metadata == "new" and json.loads(c.get(18).metadata) == {"a": 1} and c.get(18).vector == pytest.approx(rows[18][1])
+    with pytest.raises(KeyError):
+        c.get(19)
+    assert c.has_index() and ids(c.search([2.0] * 8, k=1, precision="medium")) == [9999]
+    assert ids(c.search([1.0] * 8, k=1, precision="medium")) == [17]
+    before = {r.id: (tuple(r.vector), r.metadata) for r in c.frame().collect()}
+    old = c.frame()
+    c.compact()
+    after = c.store.manifest()
+    assert after.changes == () and after.base != base and {r.id: (tuple(r.vector), r.metadata) for r in c.frame().collect()} == before
+    assert old.count() == 5000  # a reader of the version before
+    c.vacuum()
+    folders = [n for n in c.files.names() if n.startswith("d-")]
+    assert folders == [after.base] and len(c) == 5000 and not [n for n in c.files.names() if n.startswith("stage-")]
+
+
+def test_changes_are_folded_once_they_have_grown(engine, monkeypatch):
+    monkeypatch.setattr(storage, "MOST_CHANGES", 3)
+    monkeypatch.setattr(storage, "CHANGED_SHARE", 100)
+    c = engine.create_collection("many", 2)
+    model, seen = {}, []
+    for n in range(8):
+        c.upsert([(n % 3, [n, 1], str(n)), (100 + n, [1, n], None)])
+        model |= {n % 3: str(n), 100 + n: None}
+        seen.append(len(c.store.manifest().changes))
+    assert seen == [0, 1, 2, 0, 1, 2, 0, 1]
+    assert {r.id: r.metadata for r in c.frame().collect()} == model
+
+
+def test_metadata_after_put_and_removal(engine):
+    c = engine.create_collection("order", 1)
+    c.upsert([(i, [1], "first") for i in range(200)])
+    c.update_metadata(1, '"m1"')
+    c.upsert([(1, [2], "second"), (2, [2], "second")])
+    c.update_metadata(2, '"m2"')
+    c.remove([3, 2])
+    c.update_metadata_batch(c.spark.createDataFrame([(3, "ghost"), (4, None), (5, "a"), (5, "b"), (None, "x")], "id long, metadata string"))
+    c.upsert([(3, [9], None)])
+    got = {r.id: (r.vector, r.metadata) for r in c.frame().where("id < 7").collect()}
+    assert got == {0: ([1], "first"), 1: ([2], "second"), 3: ([9], None), 4: ([1], None), 5: ([1], "b"), 6: ([1], "first")}
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    options = CollectionOptions("shared", "euclidean", 2)
+    Collection.open(spark, str(tmp_path), options)
+    failed = []
+
+    def write(n):
+        try:
+            Collection.open(spark, str(tmp_path), "shared").upsert([(n, [n, n], f"by {n}"), (1000 + n, [n, 0], None)])
+        except Exception as problem:  # noqa: BLE001
+            failed.append(problem)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in range(12)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    c = Collection.open(spark, str(tmp_path), "shared")
+    assert not failed and ids_of(c) == [*range(12), *range(1000, 1012)]
+    compacting = threading.Thread(target=c.build_index)
+    compacting.start(), write(50), compacting.join()
+    assert not failed and len(c) == 26 and ids(c.search([50, 50], k=1, precision="medium")) == [50]
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting:
+        dimensions = 1
+
+        def embed(self, texts):
+            for t in texts:
+                (calls / f"{t}-{uuid.uuid4().hex}").touch()
+            return [[float(len(t))] for t in texts]
+
+    c = Engine(spark, str(tmp_path / "d"), Counting()).create_collection("t", 1)
+    c.upsert(spark.createDataFrame([(i, "x" * i) for i in range(1, 9)], "id long, text string"))
+    assert sorted(p.name.split("-")[0] for p in calls.iterdir()) == ["x" * i for i in range(1, 9)] and len(c) == 8
+
+
+def test_bound_parameters(engine):
+    c = engine.create_collection("p", 1)
+    c.upsert([(i, [1], {"n": i, "s": f"v{i}", "limit": 2}) for i in range(6)])
+    assert ids(c.search(filter="n >= :least AND s != :not", params={"least": 3, "not": "v4"})) == [3, 5]
+    assert ids(c.search(filter="n >= :limit")) == [2, 3, 4, 5] and ids(c.search(filter="n >= :limit", params={"limit": 5})) == [5]
+    assert ids(c.search(filter=":wanted == n OR s == :s", params={"wanted": 1, "s": "x' OR true"})) == [1]
+    assert ids(c.search(filter="n == :none", params={"none": None})) == []
+
+
+def test_embedding_by_http(spark, tmp_path):
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path != "/api/embed" or asked["model"] != "m":
+                self.send_error(404)
+                return
+            body = json.dumps({"embeddings": [[float(len(t)), 1.0] for t in asked["input"]]}).encode()
+            self.send_response(200), self.end_headers(), self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    where = f"127.0.0.1:{server.server_port}"
+    c = Engine(spark, EngineConfig(str(tmp_path), embedding_server=where, text_model="m")).create_collection("h", 2, distance_function="euclidean")
+    c.upsert([{"id": i, "text": "x" * i} for i in range(1, 50)])
+    assert c.get(7).vector == [7.0, 1.0] and ids(c.search(text="y" * 9, k=1)) == [9]
+    with pytest.raises(ValueError):
+        HttpEmbedder(where, "m", 3).embed(["a"])
+    with pytest.raises(OSError):
+        HttpEmbedder(where, "other", 2).embed(["a"])
+    server.shutdown()

@@ -108,45 +108,51 @@ def test_list_order(spark):
 
 
 @pytest.mark.parametrize("method", V.METHODS)
-def test_lsh_recall(spark, method):
+def test_candidates_are_rarely_missed(spark, method):
+    """Of records within the limit at most one in twenty is no candidate, at any distance."""
     rng = np.random.default_rng(1)
-    centres = rng.normal(size=(40, 16))
-    data = np.concatenate([c + rng.normal(size=(50, 16)) * 0.25 for c in centres])
+    data = rng.normal(size=(4000, 24)) * rng.uniform(0.5, 2, size=(4000, 1))
     frame = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(data)], "id long, vector array<double>, metadata string")
-    hasher = lsh.Hasher(method, 16, width=4.0)
-    indexed = lsh.hashed(frame, hasher).cache()
-    d = V.distances(data, data[::200], method)
-    found = searched = 0
-    for j, i in enumerate(range(0, 2000, 200)):
-        best = set(np.argsort(d[:, j])[:10].tolist())
-        found += len(best & {r.id for r in lsh.nearest(indexed, data[i], 10, hasher).collect()})
-        searched += lsh.candidates(indexed, data[i], hasher).count()
-    assert found >= 90 and searched < 10 * 2000
-
-
-def test_similar_pairs(spark):
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(30, 16))
-    data = np.concatenate([base, base + rng.normal(size=base.shape) * 0.01])
-    frame = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(data)], "id long, vector array<double>, metadata string")
-    hasher = lsh.Hasher("cosine", 16, tables=8, bits=10)
-    pairs = {(r.a, r.b) for r in lsh.similar_pairs(lsh.hashed(frame, hasher), 0.05, hasher).collect()}
-    assert pairs == {(i, i + 30) for i in range(30)}
-
-
-def test_pairs_up_to_the_radius_are_found(spark):
-    rng = np.random.default_rng(7)
-    base, u = rng.normal(size=(2, 300, 64))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    u -= (u * base).sum(axis=1, keepdims=True) * base
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    turn = np.pi * np.linspace(0.15, 0.199, 300)[:, None]
-    data = np.concatenate([base, np.cos(turn) * base + np.sin(turn) * u])
-    frame = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(data)], "id long, vector array<double>, metadata string")
-    hasher = lsh.for_pairs(64, 0.2)
-    assert 1 - (1 - 0.8**hasher.bits) ** hasher.tables >= 0.9
-    pairs = {(r.a, r.b) for r in lsh.similar_pairs(lsh.hashed(frame, hasher), 0.2, hasher).collect()}
-    assert len(pairs & {(i, i + 300) for i in range(300)}) >= 270
+    sketcher = lsh.Sketcher(method, 24, 0, lsh.centre_of(frame, method, 24))
+    sketched = sketcher.sketched(frame).cache()
+    for q in (data[5], rng.normal(size=24)):
+        d = V.distances(data, q[None], method)[:, 0]
+        r, words = sketcher.sketch(data)
+        rq, wq = sketcher.sketch(q[None])
+        for share in (0.002, 0.02, 0.2, 0.6):
+            limit = float(np.quantile(d, share))
+            found = {r.id for r in sketched.where(sketcher.candidate(q, limit)).collect()}
+            within = set(np.flatnonzero(d <= limit).tolist())
+            assert len(within & found) >= 0.95 * len(within) - 1 and len(found) < 4000
+            assert found == set(np.flatnonzero(sketcher._could(r, words, rq[0], wq[0], limit)).tolist())
+
+
+def test_sketches_without_vectors(spark):
+    frame = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0])], "id long, vector array<double>")
+    got = {r.id: r for r in lsh.Sketcher("cosine", 2).sketched(frame).collect()}
+    assert got[1]._r == pytest.approx(1) and got[2]._r is None and got[2]._s0 is None and got[3]._r == -1
+    assert lsh.centre_of(frame, "cosine", 2) == pytest.approx((0.6, 0.8)) and lsh.centre_of(frame, "euclidean", 2) == pytest.approx((1.5, 2.0))
+    assert lsh.centre_of(frame.where("false"), "cosine", 2) == ()
+
+
+def test_batches_never_meet_in_a_join(cloud, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BYTES", 0)
+    _, frame = cloud
+    queries = frame.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+    plan = search.nearest_batch(frame, queries, 4, "cosine")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan and plan.count("MapInArrow") > 1
+
+
+@pytest.mark.parametrize("limit", [search.QUERY_BYTES, 2000])
+def test_mean_of_all_pairs(cloud, monkeypatch, limit):
+    monkeypatch.setattr(search, "QUERY_BYTES", limit)
+    data, frame = cloud
+    for method in V.METHODS:
+        d = V.distances(data, data, method)
+        wanted = d[np.triu_indices(len(data), 1)].mean()
+        found = records.mean_pair_distance(frame, method)
+        assert found.first()[0] == pytest.approx(wanted, rel=1e-9) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert records.mean_pair_distance(frame.where("id = 1"), "cosine").first()[0] == 0 == records.mean_pair_distance(frame.where("false"), "cosine").first()[0]
 
 
 def test_record_operators(spark):

@@ -1,31 +1,29 @@
 """A collection: documents (id, vector, metadata) under fixed options, on Parquet.
 
-    <root>/<name>/options.json     distance method, dimensions, bits
-    <root>/<name>/current          the version that counts
-    <root>/<name>/v=<n>/           that version's rows
-
-A change writes a new version and then replaces ``current``, so readers never see a
-part of it, and a failed change leaves things as they were. Rows are sorted by id
-within a version's files, so that point lookups skip row groups.
+How rows are stored and changed is in ``storage``: a change is written by itself and
+published as a new version, so readers never see a part of it, a failed change leaves
+things as they were, and of several writers none loses what it wrote.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embed import Embedder, HashingEmbedder, QueryEmbedder, embedded
-from .filters import VariantSource, compile_filter, parse
+from .filters import VariantSource, bind, compile_filter, parse
 from .functions import quantization, vectors
 from .operators import lsh, records, search
 from .sources.files import Files
+from .storage import GONE, METADATA, PUT, SCHEMA, Store
 
-SCHEMA = "id long, vector array<double>, metadata string"
 MODES = ("create_if_not_exists", "read_write", "read_only", "create_and_overwrite")
 
 
@@ -84,14 +82,14 @@ def _records_frame(spark: SparkSession, rows: Iterable) -> DataFrame:
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, root: str, options: CollectionOptions, read_only: bool = False, embedder: Embedder | None = None, default_precision: str = "exact", reference_quirks: bool = False) -> None:
+    def __init__(self, spark: SparkSession, root: str, options: CollectionOptions, read_only: bool = False, embedder: Embedder | None = None, default_precision: str = "exact", reference_quirks: bool = False, seed: int = 0) -> None:
         self.spark, self.options, self.read_only = spark, options, read_only
         self.path = f"{root.rstrip('/')}/{options.name}"
-        self.files = Files(spark, self.path)
+        self.store = Store(spark, self.path, options.distance_method, options.dimension_count, seed)
+        self.files = self.store.files
         self.embedder = embedder or HashingEmbedder(options.dimension_count)
         self._embed_query = QueryEmbedder(self.embedder)
         self.default_precision, self.reference_quirks = default_precision, reference_quirks
-        self._fitted: tuple[int, lsh.Hasher | None] = (-2, None)
 
     # --- opening ---------------------------------------------------------------------
 
@@ -111,21 +109,19 @@ class Collection:
             options = CollectionOptions(**json.loads(files.read("options.json")))
         elif isinstance(options, str) or mode in ("read_write", "read_only"):
             raise KeyError(f"no collection {name!r}")
-        made = cls(spark, root, options, mode == "read_only", **kwargs)
-        if not there:
-            files.write("options.json", json.dumps(asdict(options)))
-            made._publish(spark.createDataFrame([], SCHEMA))
-        return made
+        if not there and not files.create("options.json", json.dumps(asdict(options))):
+            options = CollectionOptions(**json.loads(files.read("options.json")))  # another has just made it
+        return cls(spark, root, options, mode == "read_only", **kwargs)
 
     # --- reading ---------------------------------------------------------------------
 
     @property
     def version(self) -> int:
-        return int(self.files.read("current")) if self.files.exists("current") else -1
+        return self.store.manifest().version
 
     def frame(self) -> DataFrame:
         """(id, vector, metadata) as they are now. Vectors are what their bits keep of them."""
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={self.version}")
+        return self.store.rows(self.store.manifest()).select("id", "vector", "metadata")
 
     def __len__(self) -> int:
         return self.frame().count()
@@ -144,25 +140,26 @@ class Collection:
         return rows[0]
 
     def stored_files(self) -> DataFrame:
-        """(file, bytes, records) of the current version."""
+        """(file, bytes, records): where the records of the current version are."""
+        now = self.store.manifest()
+        folders = [f"{self.path}/{f}" for f in (*([now.base] if now.base else []), *now.changes)]
+        records = self.store.rows(now, "_file").groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("records"))
+        if not folders:
+            return records.select("file", F.lit(0).cast("long").alias("bytes"), "records")
         meta = F.col("_metadata")
-        return self.frame().select("id", meta["file_path"].alias("file"), meta["file_size"].alias("bytes")).groupBy("file", "bytes").agg(F.count("id").alias("records"))
+        sizes = self.spark.read.parquet(*folders).select(meta["file_path"].alias("file"), meta["file_size"].alias("bytes")).distinct()
+        return sizes.join(records, "file", "left").select("file", "bytes", F.coalesce("records", F.lit(0)).alias("records"))
 
     def stats(self, sample_pairs: int = 100, seed: int = 0) -> DataFrame:
         frame, o = self.frame(), self.options
-        row = (o.name, frame.count(), o.dimension_count, o.quantization, o.distance_method, self.files.size(f"v={self.version}"), records.sampled_pair_distance(frame, o.distance_method, sample_pairs, seed))
+        row = (o.name, frame.count(), o.dimension_count, o.quantization, o.distance_method, self.store.size(self.store.manifest()), records.sampled_pair_distance(frame, o.distance_method, sample_pairs, seed))
         return self.spark.createDataFrame([row], "name string, document_count long, dimension_count int, quantization int, distance_method string, storage_size long, average_distance double")
 
     # --- changing --------------------------------------------------------------------
 
-    def _publish(self, rows: DataFrame) -> None:
-        if self.read_only:
-            raise PermissionError(f"{self.options.name} is open for reading only")
-        now = self.version
-        rows.select("id", "vector", "metadata").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/v={now + 1}")
-        self.files.write("current", str(now + 1))
-        if now > 0:
-            self.files.delete(f"v={now - 1}")  # readers of the last version may still be at it
+    def _commit(self, rows: DataFrame, puts_only: bool = False) -> None:
+        self._writable()
+        self.store.commit(rows, puts_only)
 
     def upsert(self, rows: DataFrame | Iterable) -> None:
         """Insert or replace by id. A frame has id, metadata, and vector or text or both (a
@@ -186,11 +183,20 @@ class Collection:
             .when(F.col("vector").isNull(), F.lit("a vector or a text"))
             .when(F.size("vector") != d, F.lit(f"a vector of {d} dimensions"))
         )
-        wrong = new.select("id", problem.alias("p")).where("p IS NOT NULL").take(1)
-        if wrong:
-            raise ValueError(f"record {wrong[0].id} needs {wrong[0].p}")
-        new = records.latest(new).select("id", quantization.stored(F.col("vector"), self.options.quantization).alias("vector"), "metadata")
-        self._publish(records.upserted(self.frame(), new))
+        self._writable()
+        stage = f"stage-{uuid.uuid4().hex}"  # texts are embedded, and rows numbered, once
+        try:
+            new.withColumn("_problem", problem).write.parquet(f"{self.path}/{stage}")
+            staged = self.spark.read.parquet(f"{self.path}/{stage}")
+            first = staged.select("id", "_problem").orderBy(F.col("_problem").isNull()).take(1)
+            if not first:
+                return
+            if first[0]._problem is not None:
+                raise ValueError(f"record {first[0].id} needs {first[0]._problem}")
+            put = records.latest(staged).select("id", quantization.stored(F.col("vector"), self.options.quantization).alias("vector"), "metadata", F.lit(PUT).alias("_op"))
+            self._commit(put, puts_only=True)
+        finally:
+            self.files.delete(stage)
 
     def update_metadata(self, doc_id: int, metadata: dict | str) -> None:
         """Replace a document's metadata, all of it; KeyError if there is no such document."""
@@ -198,42 +204,59 @@ class Collection:
         text = metadata if isinstance(metadata, str) else json.dumps(metadata)
         self.update_metadata_batch(self.spark.createDataFrame([(doc_id, text)], "id long, metadata string"))
 
+    def _named(self, ids: DataFrame, op: int, metadata: str | None = None) -> DataFrame:
+        meta = F.col(metadata).cast("string") if metadata else F.lit(None).cast("string")
+        return ids.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vector"), meta.alias("metadata"), F.lit(op).alias("_op")).where("id IS NOT NULL")
+
     def update_metadata_batch(self, updates: DataFrame) -> None:
-        """(id, metadata) rows; ids that aren't there are passed over."""
-        self._publish(records.metadata_updated(self.frame(), updates))
+        """(id, metadata) rows; ids that aren't there are passed over. Of an id twice the
+        metadata that sorts last counts, null first."""
+        last = updates.groupBy("id").agg(F.max("metadata").alias("metadata"))
+        self._commit(self._named(last, METADATA, "metadata"))
 
     def remove_document(self, doc_id: int) -> None:
         self.get(doc_id)
-        self._publish(self.frame().where(F.col("id") != doc_id))
+        self.remove([doc_id])
 
     def remove(self, ids: DataFrame | Iterable[int]) -> None:
         """Remove all of these ids that are there."""
         frame = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id long")
-        self._publish(records.removed(self.frame(), frame))
+        self._commit(self._named(frame.select("id").distinct(), GONE))
+
+    def compact(self) -> None:
+        """Write base and changes as one, which happens by itself once changes have grown."""
+        self._writable()
+        self.store.compact()
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete the files that none of the last ``keep`` versions has; results that are still
+        to be read from older ones fail then."""
+        self._writable()
+        self.store.vacuum(keep)
+
+    def _writable(self) -> None:
+        if self.read_only:
+            raise PermissionError(f"{self.options.name} is open for reading only")
 
     def close(self) -> None:
         """Nothing is held open."""
 
     # --- searching -------------------------------------------------------------------
 
-    def filtered(self, frame: DataFrame, filter: str | Column | Callable | None) -> tuple[DataFrame, Column | None]:
+    def filtered(self, frame: DataFrame, filter: str | Column | Callable | None, params: dict | None = None) -> tuple[DataFrame, Column | None]:
         """The frame, with parsed metadata where a filter needs it, and its predicate."""
         if filter is None:
             return frame, None
         if isinstance(filter, Column):
             return frame, filter
         if isinstance(filter, str):
-            node = parse(filter, self.reference_quirks)
+            node = bind(parse(filter, self.reference_quirks), params or {})
             return frame.withColumn("_m", F.expr("try_parse_json(metadata)")), compile_filter(node, VariantSource(F.col("_m")), self.reference_quirks)
-        return frame, F.udf(lambda i, m: bool(filter(i, m)), "boolean")(F.col("id"), F.col("metadata"))
 
-    def hasher(self) -> lsh.Hasher:
-        """The index's hasher, or else one fitted to the vectors of the current version."""
-        if self.has_index():
-            return lsh.Hasher(**json.loads(self.files.read(f"{self._index_name()}/_hasher.json")))
-        if self._fitted[0] != (version := self.version):
-            self._fitted = version, lsh.fitted(self.frame(), self.options.distance_method, self.options.dimension_count)
-        return self._fitted[1]
+        def passes(ids: pd.Series, metadata: pd.Series) -> pd.Series:
+            return pd.Series([bool(filter(int(i), None if pd.isna(m) else m)) for i, m in zip(ids, metadata)], dtype=bool)
+
+        return frame, F.pandas_udf(passes, "boolean")(F.col("id"), F.col("metadata"))
 
     def search(
         self,
@@ -246,23 +269,27 @@ class Collection:
         precision: str | None = None,
         filter: str | Column | Callable | None = None,
         order: str = "string",
+        params: dict | None = None,
     ) -> SearchResults:
         """Records, in one of four ways.
 
         * Neither k nor radius: a page of them (offset, limit; distance 0), by id.
         * k: the k nearest to vector, or to text, which wins over it.
         * radius: all up to that distance; k is then ignored.
-        * Either with a precision other than "exact": approximate, through hashing fitted to
-          the collection's vectors. Where hashing finds too few records, or a record as far
-          as the last one found could be missed by more than one chance in ten, the search
-          is exact.
+        * Either with a precision other than "exact": approximate. Only records whose sketches
+          say that they could be near enough are measured; one that is near enough is missed
+          by less than one chance in twenty. There are as many rows as in an exact search for
+          k, which is what k beyond 1000 gets.
 
         The filter, a text of the filter language, a Column or a function of (id,
-        metadata), comes before distances. Offset and limit count for pages only. A
+        metadata), comes before distances. ``params`` are values for its :names; those that
+        it doesn't give are looked up in the record. Offset and limit count for pages only. A
         negative k or radius alone finds nothing.
         """
-        start, frame = time.monotonic(), self.frame()
-        rows, predicate = self.filtered(frame, filter)
+        start, now = time.monotonic(), self.store.manifest()
+        stored = self.store.rows(now)
+        frame = stored.select("id", "vector", "metadata")
+        rows, predicate = self.filtered(frame, filter, params)
         if k == 0 and radius == 0:
             page = search.listed(rows, predicate, offset, limit, order)
 
@@ -283,38 +310,39 @@ class Collection:
         exact = SearchResults(search.within(rows, q, radius, method, predicate) if radius > 0 else search.nearest(rows, q, k, method, predicate), lambda: 100.0 if frame.count() else 0.0, took)
         if (precision or self.default_precision) == "exact":
             return exact
-        hasher = self.hasher()
-        near = lambda rows: lsh.probed(rows, f"{self.path}/{self._index_name()}", query, hasher) if self.has_index() else lsh.candidates(lsh.hashed(rows, hasher), query, hasher).drop("keys")
-        chosen, predicate = self.filtered(near(frame), filter)
-        found = search.within(chosen, q, radius, method, predicate) if radius > 0 else search.nearest(chosen, q, k, method, predicate)
-        last = None if radius > 0 else found.agg(F.count("id").alias("n"), F.max("distance").alias("far")).first()
-        if (last and last.n < k) or hasher.chance(last.far if last else radius) < lsh.RECALL:
+        sketcher = self.store.sketcher(now)
+        if sketcher is None or (radius <= 0 and k > lsh.MOST_K):
             return exact
+        chosen, predicate = self.filtered(stored, filter, params)
+        if radius > 0:
+            near = sketcher.candidate(query, radius)
+            found = search.within(chosen.where(near), q, radius, method, predicate)
+        else:
+            found, limit, first = lsh.nearest(chosen, query, k, sketcher, predicate)
+            near = sketcher.candidate(query, limit) | F.col("id").isin(first)
 
         def percent() -> float:
-            total = frame.count()
-            return near(frame).count() / total * 100 if total else 0.0
+            total, measured = stored.agg(F.count(F.lit(1)), F.count_if(near)).first()
+            return measured / total * 100 if total else 0.0
 
         return SearchResults(found, percent, took)
 
-    def _index_name(self) -> str:
-        return f"index-v={self.version}"
-
     def has_index(self) -> bool:
-        return self.files.exists(f"{self._index_name()}/_hasher.json")
+        """Whether records have sketches: as soon as there were any."""
+        return self.store.manifest().sketch is not None
 
     def build_index(self) -> None:
-        """Store the hash keys of the current version, for approximate search to probe. Until a
-        changed collection is indexed again, its vectors are hashed as they are searched."""
-        if self.read_only:
-            raise PermissionError(f"{self.options.name} is open for reading only")
-        for old in self.files.names():
-            if old.startswith("index-"):
-                self.files.delete(old)
-        hasher = self.hasher()
-        lsh.write_index(self.frame(), hasher, f"{self.path}/{self._index_name()}")
-        self.files.write(f"{self._index_name()}/_hasher.json", json.dumps(asdict(hasher)))
+        """Make all sketches anew, from the mean of the vectors as they are now. Changes bring
+        their own sketches, so this is for collections whose vectors have become others."""
+        self._writable()
+        if self.has_index():
+            self.store.compact(recentre=True)
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, distance, rank) for each of many queries (query_id, vector)."""
         return search.nearest_batch(self.frame(), queries, k, self.options.distance_method)
+
+    def search_batch_approximate(self, queries: DataFrame, k: int) -> DataFrame:
+        """The same through sketches, with a column ``searched``: how many records were measured."""
+        now = self.store.manifest()
+        return lsh.nearest_batch(self.store.rows(now), queries, k, self.store.sketcher(now) or lsh.Sketcher(self.options.distance_method, self.options.dimension_count))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import urllib.request
 from functools import lru_cache
 from typing import Protocol
 
@@ -45,16 +47,39 @@ class LetterEmbedder:
     dimensions = 26
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [[float(t.count(chr(97 + i))) for i in range(26)] for t in texts]
+        return [np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)[97:123].astype(np.float64).tolist() for t in texts]
+
+
+class HttpEmbedder:
+    """Asks a service for vectors: POST {"model": ..., "input": [texts]} to <server>/api/embed
+    gives {"embeddings": [vectors]}. Columns are embedded on the executors, ``batch`` texts
+    a request; a request that fails is made again, ``attempts`` times in all."""
+
+    def __init__(self, server: str, model: str, dimensions: int, batch: int = 32, attempts: int = 3, timeout: float = 60.0) -> None:
+        server = server if server.startswith(("http://", "https://")) else f"http://{server}"
+        self.url, self.model, self.dimensions = f"{server.rstrip('/')}/api/embed", model, dimensions
+        self.batch, self.attempts, self.timeout = batch, attempts, timeout
+
+    def _ask(self, texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        for attempt in range(1, self.attempts + 1):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as answer:
+                    found = json.load(answer).get("embeddings") or []
+                break
+            except OSError:
+                if attempt == self.attempts:
+                    raise
+        if len(found) != len(texts) or any(len(v) != self.dimensions for v in found):
+            raise ValueError(f"{self.model} doesn't give a vector of {self.dimensions} dimensions for each text")
+        return [[float(x) for x in v] for v in found]
 
-    def column(self, text: Column) -> Column:
-        return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(chr(97 + i)), F.lit(""))) for i in range(26))).cast("array<double>")
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [v for at in range(0, len(texts), self.batch) for v in self._ask(texts[at : at + self.batch])]
 
 
 def embedded(text: Column, embedder: Embedder) -> Column:
-    """A column of vectors: the embedder's own column, if it has one, or Arrow batches."""
-    if hasattr(embedder, "column"):
-        return embedder.column(text)
+    """A column of vectors, made in Arrow batches."""
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(embedder.embed(texts.fillna("").tolist()), dtype="object")

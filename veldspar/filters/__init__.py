@@ -3,6 +3,6 @@
 from .compiler import NativeSource, VariantSource, compile_filter
 from .interpreter import evaluate, matches
 from .parser import parse
-from .syntax import FilterSyntaxError
+from .syntax import FilterSyntaxError, bind
 
-__all__ = ["FilterSyntaxError", "NativeSource", "VariantSource", "compile_filter", "evaluate", "matches", "parse"]
+__all__ = ["FilterSyntaxError", "NativeSource", "VariantSource", "bind", "compile_filter", "evaluate", "matches", "parse"]

@@ -71,3 +71,12 @@ def packed_column(codes: Column, bits: int) -> Column:
         raise ValueError("floats are stored as they are")
     digits = F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), bits // 4, "0")), "")
     return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
+
+
+def unpacked_column(packed: Column, dimensions: Column, bits: int) -> Column:
+    """unpack() to 4-, 8- and 16-bit codes, in the JVM."""
+    if check_bits(bits) > 16:
+        raise ValueError("floats are stored as they are")
+    width, digits = bits // 4, F.hex(packed)
+    places = F.when(dimensions > 0, F.sequence(F.lit(0), dimensions - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.substring(digits, i * width + 1, F.lit(width)), 16, 10).cast("int"))

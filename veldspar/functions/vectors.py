@@ -100,3 +100,21 @@ def distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> np.ndarr
     scale = np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
     safe = np.where(scale == 0, 1.0, scale)
     return np.where(scale == 0, 1.0, np.arccos(np.clip(vectors @ queries.T / safe, -1.0, 1.0)) / np.pi)
+
+
+def rough_distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> tuple[np.ndarray, float]:
+    """Numbers in the order of distances(), by one product, and how far rounding may have
+    moved them: squares of distances, or the negative cosine."""
+    product = vectors @ queries.T
+    a, b = np.einsum("ij,ij->i", vectors, vectors), np.einsum("ij,ij->i", queries, queries)
+    if method == "euclidean":
+        return a[:, None] + b[None, :] - 2 * product, 1e-12 * float(a.max(initial=0) + b.max(initial=0))
+    scale = np.sqrt(a)[:, None] * np.sqrt(b)[None, :]
+    return np.where(scale == 0, 1.0, -product / np.where(scale == 0, 1.0, scale)), 1e-12
+
+
+def block_distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> np.ndarray:
+    """distances() by one product: as exact as rounding of squares allows."""
+    if method == "euclidean":
+        return np.sqrt(np.maximum(rough_distances(vectors, queries, method)[0], 0.0))
+    return distances(vectors, queries, method)

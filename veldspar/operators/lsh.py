@@ -1,18 +1,27 @@
 """Approximate search by locality-sensitive hashing.
 
-Vectors are hashed in several tables. For angular distance a table's key is the signs
-of dot products with random vectors; for Euclidean distance it is the cells of random
-projections. Candidates are the records that share a key with the query in any table,
-or one of the keys nearest to it (multi-probe); they are ranked exactly.
-
-Hashes are computed in Arrow batches by one matrix product. They depend on the seed
-alone, so an index can be stored as a column of the collection.
+A vector's sketch is its distance r from a centre and the signs of its dot products, taken
+from there, with ``bits`` random vectors. Two vectors at an angle of a half turns differ in
+each sign with the chance a, independently (random hyperplanes). So from two sketches
+follows how far apart the vectors can be: those that could lie within a limit, given the
+signs that differ, are candidates, and only candidates are measured. A record within the
+limit is missed with a chance of ``MISS`` at most, whatever the data are; distances from
+the centre alone rule out the rest by the triangle inequality.
+
+For Euclidean distance vectors are taken as they are, for angular distance with length 1,
+where the chord takes the place of the angle. The centre is the mean of the vectors when it
+is chosen; any other is right too, but tells apart less.
+
+Sketches are columns next to the vector. They need no scale, and no other record, so a
+record's sketch is written with it and goes with it. What is compared is native columns:
+bit counts of five numbers in each row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -21,166 +30,201 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from .search import measured, nearest_batch
+from . import search
+
+BITS = 256
+#: Standard deviations beyond the expected number of differing signs, for a chance of MISS to miss a record within the limit.
+SLACK, MISS = 2.0, 0.025
+#: Of the records that look nearest by their sketches, so many are measured first, to bound the distance of the k-th.
+FIRST, TIMES_K = 64, 4
+#: Largest k that is searched approximately.
+MOST_K = 1000
+
+WORDS = [f"_s{i}" for i in range(BITS // 64)]
+COLUMNS = T.StructType([T.StructField("_r", T.DoubleType()), *(T.StructField(w, T.LongType()) for w in WORDS)])
+
+
+class Index(Protocol):
+    """What a collection asks of an index: a sketch for each record, and candidates."""
 
-#: Chance to share a probed key that a neighbour must have, and the one that hashers are fitted to.
-RECALL, FITTED = 0.9, 0.97
-#: Most tables of a fitted hasher; vectors on which data is measured.
-MAX_TABLES, SAMPLE = 64, 32
+    def sketched(self, frame: DataFrame) -> DataFrame: ...
+    def candidate(self, query, limit: float) -> Column: ...
+    def estimate(self, query) -> Column: ...
 
 
 @dataclass(frozen=True)
-class Hasher:
+class Sketcher:
     method: str
     dimensions: int
-    tables: int = 12
-    bits: int = 6
-    width: float = 1.0
     seed: int = 0
-
-    def planes(self) -> tuple[np.ndarray, np.ndarray]:
-        rng = np.random.default_rng(self.seed)
-        normals = np.stack([vectors.random_unit(self.dimensions, rng) for _ in range(self.tables * self.bits)])
-        return normals, rng.uniform(0, self.width, self.tables * self.bits)
-
-    def _scores(self, matrix: np.ndarray) -> np.ndarray:
-        normals, offsets = self.planes()
-        scores = matrix @ normals.T
-        if self.method == "euclidean":
-            scores = (scores + offsets) / self.width
-        return scores.reshape(len(matrix), self.tables, self.bits)
-
-    def _keys(self, cells: np.ndarray) -> np.ndarray:
-        """One long per table from its cells; the table is part of it."""
-        key = np.broadcast_to(np.arange(self.tables, dtype=np.uint64), cells.shape[:-1]).copy()
-        for i in range(self.bits):
-            key = (key * np.uint64(0x9E3779B97F4A7C15) + cells[..., i].astype(np.int64).view(np.uint64)) & np.uint64((1 << 63) - 1)
-        return key.astype(np.int64)
-
-    def _cells(self, scores: np.ndarray) -> np.ndarray:
-        return (np.floor(scores) if self.method == "euclidean" else scores > 0).astype(np.int64)
-
-    def keys(self, matrix: np.ndarray) -> np.ndarray:
-        return self._keys(self._cells(self._scores(matrix)))
-
-    def probes(self, query) -> np.ndarray:
-        """The query's keys, and in every table those that differ from it in one cell, to
-        the side that is nearer, or in the two nearest."""
-        scores = self._scores(np.asarray(query, np.float64)[None, :])[0]
-        cells = self._cells(scores)
-        step = np.where(scores - cells > 0.5, 1, -1) if self.method == "euclidean" else 1 - 2 * cells
-        gap = np.minimum(scores - cells, 1 - scores + cells) if self.method == "euclidean" else np.abs(scores)
-        found = [self._keys(cells)]
-        order = np.argsort(gap, axis=1)
-        for a in range(self.bits):
-            one = cells.copy()
-            at = order[:, a]
-            one[np.arange(self.tables), at] += step[np.arange(self.tables), at]
-            found.append(self._keys(one))
-        if self.bits > 1:
-            for a in (0, 1):
-                at = order[:, a]
-                cells = cells.copy()
-                cells[np.arange(self.tables), at] += step[np.arange(self.tables), at]
-            found.append(self._keys(cells))
-        return np.unique(np.concatenate(found))
-
-    def chance(self, distance: float, trials: int = 200) -> float:
-        """The chance that a vector at this distance from a query has one of its probed keys,
-        over random queries and directions."""
-        rng = np.random.default_rng(self.seed + 1)
-        x, u = rng.normal(size=(2, trials, self.dimensions))
-        if self.method == "euclidean":
-            x *= 100 * self.width * self.dimensions**0.5
-            y = x + distance * u / np.linalg.norm(u, axis=1, keepdims=True)
-        else:
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            u -= (u * x).sum(axis=1, keepdims=True) * x
-            u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
-            y = np.cos(np.pi * distance) * x + np.sin(np.pi * distance) * u
-        return float(np.mean([np.isin(key, self.probes(q)).any() for q, key in zip(x, self.keys(y))]))
-
-
-def for_pairs(dimensions: int, radius: float, bits: int = 12, recall: float = RECALL) -> Hasher:
-    """An angular hasher of which two vectors at the radius share a key with a chance of
-    ``recall`` at least, without probing."""
-    same = max((1 - radius) ** bits, 1e-9)
-    return Hasher("cosine", dimensions, tables=max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-same)))) if same < 1 else 1, bits=bits)
-
-
-def for_distance(method: str, dimensions: int, distance: float, recall: float = FITTED) -> Hasher:
-    """A hasher that finds vectors up to a distance: by wider cells, or by more tables."""
-    hasher = Hasher(method, dimensions)
-    if not distance > 0:
-        return hasher
-    if method == "euclidean":
-        hasher = replace(hasher, width=2 * distance / dimensions**0.5)
-        while hasher.chance(distance) < recall:
-            hasher = replace(hasher, width=hasher.width * 1.25)
-    else:
-        while hasher.tables < MAX_TABLES and hasher.chance(distance) < recall:
-            hasher = replace(hasher, tables=hasher.tables + 4)
-    return hasher
-
-
-def fitted(frame: DataFrame, method: str, dimensions: int, k: int = 10) -> Hasher:
-    """A hasher for the scale of the data: of ``SAMPLE`` of its vectors, the distance to the
-    k-th neighbour among all vectors is measured, and nine tenths of these are covered."""
-    sample = frame.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.col("id").alias("query_id"), "vector")
-    far = [r.d for r in nearest_batch(frame, sample, k + 1, method).groupBy("query_id").agg(F.max("distance").alias("d")).collect()]
-    return for_distance(method, dimensions, float(np.quantile(far, 0.9)) if far else 0.0)
-
-
-def hashed(frame: DataFrame, hasher: Hasher) -> DataFrame:
-    """The frame with ``keys array<long>``, a key for each table."""
+    centre: tuple[float, ...] = ()
+
+    def _planes(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).standard_normal((BITS, self.dimensions))
+
+    def _moved(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors as seen from the centre, and whether each has a place at all: the zero
+        vector has no direction."""
+        placed = np.ones(len(matrix), bool)
+        if self.method == "cosine":
+            n = np.linalg.norm(matrix, axis=1)
+            placed = n > 0
+            matrix = matrix / np.where(placed, n, 1.0)[:, None]
+        return (matrix - np.array(self.centre) if self.centre else matrix), placed
+
+    def sketch(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(r, signs as longs) of vectors in rows; r is -1 where there is no direction."""
+        moved, placed = self._moved(np.asarray(matrix, np.float64).reshape(-1, self.dimensions))
+        signs = np.packbits(moved @ self._planes().T > 0, axis=1)
+        return np.where(placed, np.linalg.norm(moved, axis=1), -1.0), signs.view(np.int64)
+
+    def sketched(self, frame: DataFrame) -> DataFrame:
+        """The frame with sketch columns, null where the vector is null."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index("vector"))
+                there = np.asarray(column.is_valid())
+                r, words = np.zeros(len(column)), np.zeros((len(column), len(WORDS)), np.int64)
+                if there.any():
+                    r[there], words[there] = self.sketch(np.asarray(column.drop_null().flatten(), np.float64))
+                more = [pa.array(x, mask=~there) for x in (r, *words.T)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *COLUMNS.names])
+
+        return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *COLUMNS.fields]))
+
+    def _chord(self, limit: float) -> float:
+        return limit if self.method == "euclidean" else 2 * np.sin(np.pi / 2 * min(max(limit, 0.0), 1.0))
+
+    def _query(self, query) -> tuple[float, list[int]]:
+        r, words = self.sketch(np.asarray(query, np.float64)[None, :])
+        return float(r[0]), words[0].tolist()
+
+    @staticmethod
+    def _differing(words: list[int]) -> Column:
+        total = F.lit(0)
+        for name, word in zip(WORDS, words):
+            total = total + F.bit_count(F.col(name).bitwiseXOR(F.lit(word)))
+        return total
+
+    def candidate(self, query, limit: float) -> Column:
+        """Whether a record could lie within the limit of the query."""
+        rq, words = self._query(query)
+        r, t = F.col("_r"), self._chord(limit)
+        if self.method == "cosine" and (rq < 0 or limit >= 1):
+            return F.lit(limit >= 1)  # without direction everything is at distance 1
+        slack = 1e-9 * (rq + t) + 1e-12
+        by_radius = F.abs(r - rq) <= t + slack
+        cosine = (r * r + (rq * rq - t * t)) / F.when(r * (2 * rq) > 0, r * (2 * rq)).otherwise(F.lit(1.0))
+        a = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / F.pi()
+        most = a * BITS + F.sqrt(a * (1 - a) * BITS) * SLACK + 1
+        return (r >= 0) & by_radius & ((r * (2 * rq) <= 0) | (self._differing(words) <= most))
+
+    def estimate(self, query) -> Column:
+        """The square of the distance, or chord, that the sketches suggest."""
+        rq, words = self._query(query)
+        r = F.col("_r")
+        guess = r * r + rq * rq - r * (2 * rq) * F.cos(self._differing(words) * (np.pi / BITS))
+        return F.when(r < 0, F.lit(4.0)).otherwise(guess)
+
+    # the same on numpy, for many queries at once
+
+    def _could(self, r: np.ndarray, words: np.ndarray, rq: float, wq: np.ndarray, limit: float) -> np.ndarray:
+        if self.method == "cosine" and (rq < 0 or limit >= 1):
+            return np.full(len(r), limit >= 1)
+        t = self._chord(limit)
+        both = 2 * r * rq
+        a = np.arccos(np.clip((r * r + rq * rq - t * t) / np.where(both > 0, both, 1.0), -1.0, 1.0)) / np.pi
+        differ = np.bitwise_count((words ^ wq).view(np.uint64)).sum(axis=1)
+        return (r >= 0) & (np.abs(r - rq) <= t + 1e-9 * (rq + t) + 1e-12) & ((both <= 0) | (differ <= a * BITS + SLACK * np.sqrt(a * (1 - a) * BITS) + 1))
+
+    def _guess(self, r: np.ndarray, words: np.ndarray, rq: float, wq: np.ndarray) -> np.ndarray:
+        guess = r * r + rq * rq - 2 * r * rq * np.cos(np.bitwise_count((words ^ wq).view(np.uint64)).sum(axis=1) * (np.pi / BITS))
+        return np.where(r < 0, 4.0, guess)
+
+
+def centre_of(frame: DataFrame, method: str, dimensions: int) -> tuple[float, ...]:
+    """The mean of the vectors, or of their directions: sums of each task, added up by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(dimensions), 0
         for batch in batches:
-            at = batch.schema.get_field_index("vector")
-            column = batch.column(at)
-            matrix = np.asarray(column.flatten(), np.float64).reshape(len(column), hasher.dimensions)
-            keys = hasher.keys(matrix)
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * hasher.tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], [*batch.schema.names, "keys"])
-
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
-
-
-def write_index(frame: DataFrame, hasher: Hasher, path: str) -> None:
-    """(key, id) rows in the order of keys, so that a probe reads the row groups that have its keys."""
-    keys = hashed(frame.select("id", "vector"), hasher).select(F.explode("keys").alias("key"), "id")
-    keys.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
-
-
-def probed(frame: DataFrame, path: str, query, hasher: Hasher) -> DataFrame:
-    """The records that share a key with the query, by a stored index: vectors are read of
-    the records it names only as far as they join."""
-    index = frame.sparkSession.read.schema("key long, id long").parquet(path)
-    ids = index.where(F.col("key").isin(hasher.probes(query).tolist())).select("id").distinct()
-    return frame.join(ids, "id", "left_semi")
-
-
-def candidates(indexed: DataFrame, query, hasher: Hasher) -> DataFrame:
-    """The records of an indexed frame that share a key with the query."""
-    return indexed.where(F.arrays_overlap("keys", F.array(*map(F.lit, hasher.probes(query).tolist()))))
-
-
-def nearest(indexed: DataFrame, query, k: int, hasher: Hasher, predicate: Column | None = None) -> DataFrame:
-    """The k nearest of the candidates."""
-    return measured(candidates(indexed, query, hasher), vectors.literal(query), hasher.method, predicate).orderBy("distance", "id").limit(k)
-
-
-def within(indexed: DataFrame, query, radius: float, hasher: Hasher, predicate: Column | None = None) -> DataFrame:
-    found = measured(candidates(indexed, query, hasher), vectors.literal(query), hasher.method, predicate)
-    return found.where(F.col("distance") <= radius).orderBy("distance", "id")
-
-
-def similar_pairs(indexed: DataFrame, radius: float, hasher: Hasher) -> DataFrame:
-    """(a, b, distance) with a < b: pairs up to a distance that share a key of some table.
-    A self-join on keys; pairs that share several are measured once."""
-    left = indexed.select(F.col("id").alias("a"), F.explode("keys").alias("key"))
-    right = left.select(F.col("a").alias("b"), "key")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    va, vb = indexed.select(F.col("id").alias("a"), F.col("vector").alias("va")), indexed.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    d = vectors.distance(F.col("va"), F.col("vb"), hasher.method)
-    return pairs.join(va, "a").join(vb, "b").select("a", "b", d.alias("distance")).where(F.col("distance") <= radius)
+            column = batch.column(0).drop_null()
+            if len(column):
+                moved, placed = Sketcher(method, dimensions)._moved(np.asarray(column.flatten(), np.float64).reshape(len(column), -1))
+                total += moved[placed].sum(axis=0)
+                n += int(placed.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["total", "n"])
+
+    sums = frame.select("vector").mapInArrow(run, "total array<double>, n long").select(F.posexplode("total").alias("at", "x"), "n")
+    rows = sums.groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("at").collect()
+    return tuple(r.x / r.n for r in rows) if rows and rows[0].n else ()
+
+
+def nearest(sketched: DataFrame, query, k: int, sketcher: Sketcher, predicate: Column | None = None) -> tuple[DataFrame, float, list[int]]:
+    """The k nearest, approximately, of a frame with sketches; with them the distance they lie
+    within, and the ids that were measured first.
+
+    The records that look nearest by their sketches are measured first: the k-th of these
+    bounds the distance of the k-th of all, and is the limit for candidates. So there are
+    as many rows as an exact search finds.
+    """
+    if k > MOST_K:
+        raise ValueError(f"k is {MOST_K} at most")
+    rows, q = sketched if predicate is None else sketched.where(predicate), vectors.literal(query)
+    looks = rows.select("id", sketcher.estimate(query).alias("e")).orderBy("e", "id").limit(max(FIRST, TIMES_K * k))
+    ids = [r.id for r in looks.collect()]
+    measured = search.nearest(rows.where(F.col("id").isin(ids)), q, k, sketcher.method).select("id", "distance").collect()
+    if len(measured) < k:  # all there are
+        return search.nearest(rows, q, k, sketcher.method), float("inf"), []
+    first, limit = [r.id for r in measured], measured[-1].distance
+    return search.nearest(rows.where(sketcher.candidate(query, limit) | F.col("id").isin(first)), q, k, sketcher.method), limit, first
+
+
+def nearest_batch(sketched: DataFrame, queries: DataFrame, k: int, sketcher: Sketcher) -> DataFrame:
+    """(query_id, id, distance, rank, searched) of each query (query_id, vector), approximately;
+    ``searched`` is the number of records that were measured for it. One pass over the
+    records for each slice of queries, as in the exact search."""
+
+    def top(ids: np.ndarray, matrix: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rq, wq = sketcher.sketch(matrix)
+            best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+            counts = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                row_ids, r = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+                found = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(row_ids), -1)
+                words = np.stack([np.asarray(c) for c in batch.columns[3:]], axis=1)
+                for j in range(len(ids)):
+                    have_ids, have = best[j]
+                    if len(have) < k:  # measure what looks nearest, to have a limit
+                        guess = sketcher._guess(r, words, rq[j], wq[j])
+                        m = min(len(guess), max(FIRST, TIMES_K * k))
+                        first = np.argpartition(guess, m - 1)[:m]
+                    else:
+                        first = np.empty(0, np.int64)
+                    chosen = np.zeros(len(row_ids), bool)
+                    chosen[first] = True
+                    d = vectors.distances(found[first], matrix[j : j + 1], sketcher.method)[:, 0]
+                    have_ids, have = search.ranked(np.r_[have_ids, row_ids[first]], np.r_[have, d], k)
+                    limit = have[-1] if len(have) == k else np.inf
+                    rest = np.flatnonzero((sketcher._could(r, words, rq[j], wq[j], limit) if np.isfinite(limit) else True) & ~chosen)
+                    d = vectors.distances(found[rest], matrix[j : j + 1], sketcher.method)[:, 0]
+                    counts[j] += len(first) + len(rest)
+                    best[j] = search.ranked(np.r_[have_ids, row_ids[rest]], np.r_[have, d], k)
+            sizes, n = [len(i) for i, _ in best], sum(len(i) for i, _ in best)
+            found_ids, found_d = (np.concatenate([b[x] for b in best]) for x in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[np.repeat(ids, sizes), ids]),
+                    pa.array(np.r_[found_ids, np.full(len(ids), -1)].astype(np.int64)),
+                    pa.array(np.r_[found_d, np.full(len(ids), np.inf)]),
+                    pa.array(np.r_[np.zeros(n, np.int64), counts]),
+                ],
+                ["query_id", "id", "distance", "measured"],
+            )
+
+        return run
+
+    rows = sketched.select("id", "vector", *COLUMNS.names).where("vector IS NOT NULL").withColumn("_r", F.coalesce("_r", F.lit(-1.0)))
+    return search.sliced(rows, queries, k, top, "measured long")

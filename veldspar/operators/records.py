@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import search
 
 
 def latest(frame: DataFrame, sequence: Column | str = "_seq") -> DataFrame:
@@ -32,22 +37,54 @@ def metadata_updated(existing: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def mean_pair_distance(frame: DataFrame, method: str) -> DataFrame:
-    """(average_distance) over all pairs; it takes as many distances as there are pairs."""
-    a = frame.select(F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = frame.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    d = vectors.distance(F.col("va"), F.col("vb"), method)
-    return a.crossJoin(b).where("a < b").agg(F.coalesce(F.avg(d), F.lit(0.0)).alias("average_distance"))
-
-
-def sampled_pair_distance(frame: DataFrame, method: str, pairs: int = 100, seed: int = 0) -> float:
-    """Mean distance of random pairs of records; 0 with fewer than two records.
+    """(average_distance) over all pairs, 0 without any; it takes as many distances as there
+    are pairs, in products of blocks: one pass over the records for each slice of them."""
+
+    def sums(ids: np.ndarray, matrix: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = 0.0, 0
+            for batch in batches:
+                row_ids = np.asarray(batch.column(0))
+                found = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(row_ids), -1)
+                for at in range(0, len(ids), search.QUERY_BLOCK):
+                    later = row_ids[:, None] < ids[None, at : at + search.QUERY_BLOCK]
+                    total += float(vectors.block_distances(found, matrix[at : at + search.QUERY_BLOCK], method)[later].sum())
+                    n += int(later.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], ["total", "n"])
+
+        return run
+
+    rows, parts = frame.select("id", vectors.doubles("vector").alias("vector")), None
+    for ids, matrix in search.query_slices(rows.withColumnRenamed("id", "query_id")):
+        part = rows.mapInArrow(sums(ids, matrix), "total double, n long")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = frame.sparkSession.createDataFrame([], "total double, n long")
+    return parts.agg(F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("average_distance"))
+
+
+def sampled_pair_distances(rows: DataFrame, pairs: int = 100, seed: int = 0) -> DataFrame:
+    """(name, average_distance): of each name the mean distance of random pairs of its records,
+    rows being (name, method, id, vector). Names of fewer than two records have none.
 
     Records are drawn by the hash of seed and id, as two samples whose rows are paired.
     """
-    drawn = [frame.select("id", "vector", F.xxhash64("id", F.lit(seed * 2 + i)).alias("h")).orderBy("h", "id").limit(pairs).withColumn("n", F.row_number().over(Window.orderBy("h", "id"))) for i in (0, 1)]
-    a, b = drawn[0].select("n", F.col("id").alias("a"), F.col("vector").alias("va")), drawn[1].select("n", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    d = vectors.distance(F.col("va"), F.col("vb"), method)
-    return a.join(b, "n").where("a <> b").agg(F.coalesce(F.avg(d), F.lit(0.0))).first()[0]
+    drawn = []
+    for i in (0, 1):
+        h = F.xxhash64("id", F.lit(seed * 2 + i))
+        n = F.row_number().over(Window.partitionBy("name").orderBy(h, "id"))
+        drawn.append(rows.withColumn("n", n).where(F.col("n") <= pairs))
+    a = drawn[0].select("name", "n", "method", F.col("id").alias("a"), F.col("vector").alias("va"))
+    b = drawn[1].select("name", "n", F.col("id").alias("b"), F.col("vector").alias("vb"))
+    d = F.when(F.col("method") == "cosine", vectors.angular(F.col("va"), F.col("vb"))).otherwise(vectors.euclidean(F.col("va"), F.col("vb")))
+    return a.join(b, ["name", "n"]).where("a <> b").groupBy("name").agg(F.avg(d).alias("average_distance"))
+
+
+def sampled_pair_distance(frame: DataFrame, method: str, pairs: int = 100, seed: int = 0) -> float:
+    """The same for one collection (id, vector); 0 with fewer than two records."""
+    rows = frame.select(F.lit("").alias("name"), F.lit(method).alias("method"), "id", "vector")
+    found = sampled_pair_distances(rows, pairs, seed).first()
+    return found.average_distance if found else 0.0
 
 
 def side_counts(frame: DataFrame, normal: Column, offset: float, method: str) -> DataFrame:

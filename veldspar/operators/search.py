@@ -44,52 +44,81 @@ def within(frame: DataFrame, query: Column, radius: float, method: str, predicat
     return measured(frame, query, method, predicate).where(F.col("distance") <= radius).orderBy("distance", "id")
 
 
-def _top(queries: np.ndarray, ids: np.ndarray, k: int, method: str):
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        for batch in batches:
-            column = batch.column(1)
-            found = np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, queries.shape[1]))
-            if not len(found):
-                continue
-            row_ids = np.asarray(batch.column(0))
-            d = vectors.distances(found, queries, method)
-            for j in range(len(queries)):
-                near = np.argpartition(d[:, j], k - 1)[:k] if len(d) > k else np.arange(len(d))
-                if len(d) > k:  # ties with the k-th stay for the order by id
-                    near = np.flatnonzero(d[:, j] <= d[near, j].max())
-                i, x = np.concatenate([best[j][0], row_ids[near]]), np.concatenate([best[j][1], d[near, j]])
-                keep = np.lexsort((i, x))[:k]
-                best[j] = i[keep], x[keep]
-        sizes = [len(i) for i, _ in best]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([x for _, x in best]))],
-            ["query_id", "id", "distance"],
-        )
-
-    return top
-
-
-#: Bytes of query vectors that travel to every task at most.
-QUERY_BYTES = 64 << 20
+def ranked(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest, ties by id."""
+    keep = np.lexsort((ids, distances))[:k]
+    return ids[keep], distances[keep]
+
+
+#: Queries that are measured against a batch of records at once, and bytes of query vectors that travel to every task.
+QUERY_BLOCK, QUERY_BYTES = 256, 16 << 20
+
+
+def _top(k: int, method: str):
+    def for_queries(ids: np.ndarray, queries: np.ndarray):
+        def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+            for batch in batches:
+                row_ids = np.asarray(batch.column(0))
+                found = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(row_ids), -1)
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    block = queries[at : at + QUERY_BLOCK]
+                    rough, slack = vectors.rough_distances(found, block, method)
+                    for j in range(len(block)):
+                        near = rough[:, j]
+                        if len(near) > k:  # what rounding could have misplaced stays
+                            near = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + 2 * slack)
+                        else:
+                            near = np.arange(len(near))
+                        d = vectors.distances(found[near], block[j : j + 1], method)[:, 0]
+                        i, x = best[at + j]
+                        best[at + j] = ranked(np.r_[i, row_ids[near]], np.r_[x, d], k)
+            sizes = [len(i) for i, _ in best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([x for _, x in best]))],
+                ["query_id", "id", "distance"],
+            )
+
+        return top
+
+    return for_queries
+
+
+def query_slices(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries (query_id, vector), up to ``QUERY_BYTES`` at a time."""
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), vectors.doubles("vector").alias("vector"))
+    size = queries.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("width")).first()
+    slices = 1 if size.width * 8 <= QUERY_BYTES else min(size.n, -(-16 * size.width // max(1, QUERY_BYTES)))
+    for s in range(slices):
+        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
+        rows = part.orderBy("query_id").collect()
+        if rows:
+            yield np.array([r.query_id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64)
+
+
+def sliced(rows: DataFrame, queries: DataFrame, k: int, top, extra: str = "") -> DataFrame:
+    """The k nearest of each query, ranked: ``top(ids, vectors)`` makes the function that gives
+    each task's nearest. ``extra``: a further column, added up over a query's rows, of which
+    those with a negative id then go."""
+    schema = "query_id long, id long, distance double" + (f", {extra}" if extra else "")
+    found = None
+    for ids, matrix in query_slices(queries):
+        part = rows.mapInArrow(top(ids, matrix), schema)
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], schema)
+    if extra:  # a task's own count is in a row without a record
+        found = found.withColumn("searched", F.sum(extra.split()[0]).over(Window.partitionBy("query_id"))).drop(extra.split()[0]).where("id >= 0")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest_batch(frame: DataFrame, queries: DataFrame, k: int, method: str) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest to each query (query_id, vector).
 
-    Queries of up to ``QUERY_BYTES`` go to every task, which keeps k rows for each while
-    its vectors stream through numpy, so that a shuffle moves k rows for each task and
-    query. More queries are crossed with the frame, and a window ranks them.
+    Queries go to every task, up to ``QUERY_BYTES`` at a time: each such slice is one pass
+    over the records, in which a task keeps k rows for each query while vectors stream
+    through products with ``QUERY_BLOCK`` queries. A shuffle moves these k rows. More
+    queries are more passes; records and queries never meet in a join.
     """
-    width = queries.select(F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("n")).first().n * 8
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    if width <= QUERY_BYTES:
-        rows = queries.select(F.col("query_id").cast("long"), vectors.doubles("vector").alias("vector")).orderBy("query_id").collect()
-        if not rows:
-            return frame.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-        matrix = np.array([r.vector for r in rows], np.float64)
-        found = frame.select("id", "vector").mapInArrow(_top(matrix, np.array([r.query_id for r in rows], np.int64), k, method), "query_id long, id long, distance double")
-    else:
-        q = queries.select(F.col("query_id").cast("long").alias("query_id"), vectors.doubles("vector").alias("query"))
-        found = frame.crossJoin(q).select("query_id", "id", vectors.distance(F.col("vector"), F.col("query"), method).alias("distance"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return sliced(frame.select("id", "vector"), queries, k, _top(k, method))

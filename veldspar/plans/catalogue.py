@@ -5,18 +5,24 @@ Each runs over its whole table. Limits are there only as the k or the page of a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..collection import Collection
 from ..embed import LetterEmbedder, embedded
+from ..engine import Engine
 from ..filters import NativeSource, VariantSource, compile_filter, parse
 from ..functions import quantization, vectors
-from ..operators import lsh, records, search
+from ..operators import records, search
+from ..sources import exchange
 from ..sources.exchange import vector_text
+from ..sources.files import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +95,26 @@ DISTANCE = {
 RADIUS = {"euclidean": 1.3, "cosine": 0.45}
 
 
+#: Collections of the driver's tables, made once for each session and folder.
+_STORED: dict[tuple, Collection] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, method: str, bits: int = 64, changed: str | None = None) -> Collection:
+    """The embeddings as a collection in the shared folder. ``changed``: SQL for other metadata."""
+    key = (spark.sparkContext.applicationId, sf_dir, method, bits, changed)
+    if key not in _STORED:
+        _STORED[key] = fresh(spark, sf_dir, method, bits, changed)
+    return _STORED[key]
+
+
+def fresh(spark: SparkSession, sf_dir: str, method: str, bits: int = 64, changed: str | None = None) -> Collection:
+    engine = Engine(spark, table_path(spark, "engine"))
+    made = engine.create_collection("embeddings", len(query_vector(spark, sf_dir)), bits, method)
+    rows = embeddings(spark, sf_dir)
+    made.upsert((rows.withColumn("metadata", F.expr(changed)) if changed else rows).drop("label"))
+    return made
+
+
 # --- search --------------------------------------------------------------------------
 
 
@@ -118,15 +144,28 @@ def _search_queries(method: str) -> None:
 
     @register(f"knn_lsh_{method}")
     def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q, frame = query_vector(spark, sf_dir), embeddings(spark, sf_dir)
-        hasher = lsh.fitted(frame, method, len(q))
-        return shown(lsh.nearest(lsh.hashed(frame, hasher), q, 10, hasher))
+        return shown(stored(spark, sf_dir, method).search(query_vector(spark, sf_dir), k=10, precision="medium").rows)
 
     @register(f"radius_lsh_{method}")
     def radius_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q, frame = query_vector(spark, sf_dir), embeddings(spark, sf_dir)
-        hasher = lsh.for_distance(method, len(q), r)
-        return shown(lsh.within(lsh.hashed(frame, hasher), q, r, hasher))
+        return shown(stored(spark, sf_dir, method).search(query_vector(spark, sf_dir), radius=r, precision="medium").rows)
+
+    @register(f"lsh_recall_{method}", f"SELECT count(*) AS queries, true AS filled, true AS recalled, true AS saved FROM {E} WHERE id % 20 = 0")
+    def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Approximate against exact search, for every vector whose id 20 divides: whether there
+        are ten rows for each query, nine in ten of the true ones, and half measured at most."""
+        kept = stored(spark, sf_dir, method)
+        frame = kept.frame()
+        queries = frame.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+        near, true = kept.search_batch_approximate(queries, 10), kept.search_batch(queries, 10).select("query_id", "id", F.lit(1).alias("hit"))
+        by_query = near.join(true, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"), F.max("searched").alias("searched"))
+        total = len(kept)
+        return by_query.agg(
+            F.count(F.lit(1)).alias("queries"),
+            F.bool_and(F.col("n") == min(10, total)).alias("filled"),
+            (F.sum("hits") >= 0.9 * F.sum("n")).alias("recalled"),
+            (F.avg("searched") <= 0.5 * total).alias("saved"),
+        )
 
     @register(f"avg_pairwise_distance_{method}", f"SELECT round(avg({DISTANCE[method]}), 6) AS average_distance FROM (SELECT a.v, b.v AS q FROM {E} a JOIN {E} b ON a.id < b.id)")
     def average(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +203,7 @@ for _method in vectors.METHODS:
 
 @register("radius_overrides_k", f"SELECT id, round({DISTANCE['euclidean']}, 6) AS distance FROM {EQ} WHERE {DISTANCE['euclidean']} <= 1.3")
 def radius_overrides_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, radius, q = 3, 1.3, vectors.literal(query_vector(spark, sf_dir))
-    frame = embeddings(spark, sf_dir)
-    return shown(search.within(frame, q, radius, "euclidean") if radius > 0 else search.nearest(frame, q, k, "euclidean"))
+    return shown(stored(spark, sf_dir, "euclidean").search(query_vector(spark, sf_dir), k=3, radius=1.3).rows)
 
 
 @register("list_page", f"SELECT id, 0.0::DOUBLE AS distance FROM {E} ORDER BY id::VARCHAR LIMIT 20 OFFSET 40")
@@ -192,18 +229,39 @@ def list_filtered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("host_predicate", f"SELECT id, 0.0::DOUBLE AS distance FROM {E} WHERE label = 7")
 def host_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.listed(embeddings(spark, sf_dir), F.get_json_object("metadata", "$.label") == "7").select("id", "distance")
+    return stored(spark, sf_dir, "cosine").search(filter=lambda i, m: json.loads(m)["label"] == 7).rows.select("id", "distance")
 
 
 @register("point_lookup", f"SELECT id, label FROM {E} WHERE id = 7")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).where("id = 7").select("id", "label")
+    found = stored(spark, sf_dir, "cosine").get(7)
+    return spark.createDataFrame([(found.id, json.loads(found.metadata)["label"])], f"id long, label {embeddings(spark, sf_dir).schema['label'].dataType.simpleString()}")
+
+
+@register("percent_searched", f"""SELECT 100.0::DOUBLE AS exact, 100.0::DOUBLE AS list, round(60 * 100.0 / count(*), 6)::DOUBLE AS page,
+    round(count(*) FILTER (label >= 4) * 100.0 / count(*), 6)::DOUBLE AS filtered, true AS approximate FROM {E}""")
+def percent_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, q = stored(spark, sf_dir, "cosine"), query_vector(spark, sf_dir)
+    searches = ({"vector": q, "k": 3}, {}, {"limit": 20, "offset": 40}, {"filter": "label >= 4"})
+    shares = [round(kept.search(**s).percent_searched, 6) for s in searches]
+    return spark.createDataFrame([(*shares, 0 < kept.search(q, k=3, precision="medium").percent_searched < 50)], "exact double, list double, page double, filtered double, approximate boolean")
+
+
+@register("negative_arguments", f"SELECT id, round({DISTANCE['cosine']}, 6) AS distance FROM {EQ} ORDER BY {DISTANCE['cosine']}, id LIMIT 4")
+def negative_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negative k or radius alone finds nothing; a negative radius leaves k as it is."""
+    kept, q = stored(spark, sf_dir, "cosine"), query_vector(spark, sf_dir)
+    nothing = [kept.search(q, **a).rows for a in ({"k": -1}, {"radius": -1.0}, {"k": -1, "radius": -1.0})]
+    return shown(reduce(DataFrame.unionByName, [*nothing, kept.search(q, k=4, radius=-1.0).rows]))
 
 
-@register("similar_pairs_lsh")
-def similar_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hasher = lsh.for_pairs(len(query_vector(spark, sf_dir)), 0.2)
-    return lsh.similar_pairs(lsh.hashed(embeddings(spark, sf_dir), hasher), 0.2, hasher).select("a", "b", six(F.col("distance")).alias("distance"))
+@register("response_rows", f"SELECT id, label, round({DISTANCE['cosine']}, 6) AS distance FROM {EQ} WHERE label <> 0 AND {DISTANCE['cosine']} <= 0.45")
+def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service answers; records whose metadata is no JSON object, here those of
+    label 0, are left out of it."""
+    kept = stored(spark, sf_dir, "cosine", changed="CASE WHEN label = 0 THEN 'plain text' WHEN label = 1 THEN '{\"label\": 1}' ELSE metadata END")
+    found = kept.search(query_vector(spark, sf_dir), radius=0.45).response()["results"]
+    return spark.createDataFrame([(r["id"], int(r["metadata"]["label"]), r["distance"]) for r in found], "id long, label long, distance double").select("id", "label", six(F.col("distance")).alias("distance"))
 
 
 @register("text_search", f"""
@@ -279,10 +337,28 @@ def _quantizer_queries(bits: int) -> None:
         return embeddings(spark, sf_dir).select("id", F.lower(F.hex(packed)).alias("packed"))
 
 
+    @register(f"unpack_{bits}", f"SELECT id, {codes} AS codes FROM {E}")
+    def unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Packed in the JVM, unpacked again from the bytes."""
+        packed = embeddings(spark, sf_dir).select("id", F.size("vector").alias("n"), quantization.packed_column(quantization.quantize(F.col("vector"), bits), bits).alias("packed"))
+        return packed.select("id", quantization.unpacked_column(F.col("packed"), F.col("n"), bits).alias("codes"))
+
+
 for _bits in (4, 8, 16):
     _quantizer_queries(_bits)
 
 
+@register("quantize_64", f"SELECT id, list_transform(v, lambda x: round(x, 12) + 0.0) AS codes FROM {E}")
+def quantize_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "cosine", 64).frame().select("id", F.transform("vector", lambda x: F.round(x, 12) + 0.0).alias("codes"))
+
+
+@register("encoded_size", f"SELECT bits, CASE bits WHEN 4 THEN (d + 1) // 2 ELSE d * bits // 8 END AS bytes FROM (SELECT max(len(v)) AS d FROM {E}), (VALUES (4), (8), (16), (32), (64)) t(bits)")
+def encoded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = len(query_vector(spark, sf_dir))
+    return spark.createDataFrame([(b, quantization.encoded_size(d, b)) for b in quantization.BITS], "bits int, bytes long")
+
+
 @register("quantize_32", f"SELECT id, list_transform(v, lambda x: round(x::FLOAT::DOUBLE, 6) + 0.0) AS codes FROM {E}")
 def quantize_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("id", _sixes(quantization.stored(F.col("vector"), 32)).alias("codes"))
@@ -411,13 +487,69 @@ def list_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("collection_stats", f"SELECT count(*) AS document_count, max(len(v))::INT AS dimension_count, 64 AS quantization, 'cosine' AS distance_method FROM {E}")
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).agg(F.count(F.lit(1)).alias("document_count"), F.max(F.size("vector")).alias("dimension_count")).select("*", F.lit(64).alias("quantization"), F.lit("cosine").alias("distance_method"))
+    return stored(spark, sf_dir, "cosine").stats().select("document_count", "dimension_count", "quantization", "distance_method")
+
+
+@register("storage_size", f"SELECT 8 AS quantization, true AS smaller, true AS counted FROM {E} LIMIT 1")
+def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight bits take less room than 64, and the sizes are those of the files."""
+    small, large = stored(spark, sf_dir, "cosine", 8), stored(spark, sf_dir, "cosine", 64)
+    sizes = [c.stats().first().storage_size for c in (small, large)]
+    files = small.stored_files().agg(F.sum("bytes")).first()[0]
+    return spark.createDataFrame([(small.options.quantization, 0 < sizes[0] < sizes[1], sizes[0] >= files > 0)], "quantization int, smaller boolean, counted boolean")
+
+
+_LABELLED: dict[tuple, Engine] = {}
 
 
 @register("list_collections", f"SELECT 'label' || label AS name, count(*) AS document_count, max(len(v))::INT AS dimension_count FROM {E} GROUP BY label")
 def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_label = embeddings(spark, sf_dir).groupBy(F.concat(F.lit("label"), F.col("label")).alias("name"))
-    return by_label.agg(F.count(F.lit(1)).alias("document_count"), F.max(F.size("vector")).alias("dimension_count")).orderBy(F.desc("document_count"), "name")
+    """An engine with a collection for each label."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LABELLED:
+        engine, rows = Engine(spark, table_path(spark, "engine")), embeddings(spark, sf_dir)
+        d = len(query_vector(spark, sf_dir))
+        for (label,) in rows.select("label").distinct().orderBy("label").collect():
+            engine.create_collection(f"label{label}", d).upsert(rows.where(F.col("label") == label).drop("label"))
+        _LABELLED[key] = engine
+    return _LABELLED[key].list_collections().select("name", "document_count", "dimension_count")
+
+
+@register("create_drop_collection", "SELECT name, there FROM (VALUES ('a', false), ('b', true), ('c', false)) t(name, there)")
+def create_drop_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, table_path(spark, "engine"))
+    for name in ("a", "b"):
+        engine.create_collection(name, 3)
+    dropped = engine.drop_collection("a"), engine.drop_collection("c")
+    assert dropped == (True, False)
+    return spark.createDataFrame([(n, n in engine and n in engine.names()) for n in "abc"], "name string, there boolean")
+
+
+_CHANGED_SQL = f"""
+WITH old AS (SELECT id, v, '{{"label":' || label || '}}' AS metadata, label FROM {E}),
+new AS (SELECT id + x AS id, list_transform(v, lambda y: -y) AS v, '{{}}' AS metadata FROM old, (VALUES (0), (1000000)) t(x) WHERE label = 3),
+merged AS (SELECT id, v, metadata FROM old ANTI JOIN new USING (id) UNION ALL SELECT id, v, metadata FROM new)
+SELECT id, CASE WHEN id % 10 = 1 THEN '{{"seen":true}}' ELSE metadata END AS metadata, round(list_sum(v), 6) + 0.0 AS total FROM merged WHERE id % 10 <> 7"""
+
+
+@register("collection_changes", _CHANGED_SQL)
+def collection_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection after an upsert, a metadata update and a removal, each a change of its own."""
+    kept, frame = fresh(spark, sf_dir, "cosine"), embeddings(spark, sf_dir)
+    kept.upsert(_updates(frame))
+    ids = kept.frame().select("id")
+    kept.update_metadata_batch(ids.where("id % 10 = 1").withColumn("metadata", F.lit('{"seen":true}')))
+    kept.remove(ids.where("id % 10 = 7"))
+    return kept.frame().select("id", "metadata", (six(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)) + 0.0).alias("total"))
+
+
+@register("export_import", f"SELECT id, '{{\"label\":' || label || '}}' AS metadata, list_transform(v, lambda x: printf('%.6f', x)::DOUBLE + 0.0) AS vector FROM {E}")
+def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection exported as JSON lines, and imported again: six decimals of its vectors stay."""
+    path = table_path(spark, "export")
+    exchange.export_folder(stored(spark, sf_dir, "cosine"), path)
+    back = exchange.import_folder(spark, table_path(spark, "engine"), "back", path)
+    return back.frame().select("id", "metadata", F.transform("vector", lambda x: x + 0.0).alias("vector"))
 
 
 @register("highest_sequence", "SELECT user_id AS id, max(event_id) AS sequence FROM events GROUP BY user_id")
