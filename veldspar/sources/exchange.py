@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterable, Iterator
 from typing import TextIO
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..collection import Collection, CollectionOptions
 from ..functions import vectors
 from ..functions.vectors import doubles
+from .files import Files
 
 RECORD = "id long, vector array<double>, metadata variant"
 
@@ -38,7 +40,7 @@ def export_json(collection: Collection, out: TextIO, precision: int | None = 6)
     """One JSON document {"collection": ..., "records": [...]}, streamed partition by partition."""
     out.write(f'{{"collection":{json.dumps(header(collection.options))},"records":[')
     for n, row in enumerate(export_lines(collection.frame(), precision).toLocalIterator()):
-        out.write(("," if n else "") + "\n" + row.value)
+        out.write((",\n" if n else "\n") + row.value)
     out.write("\n]}\n")
 
 
@@ -82,24 +84,59 @@ def import_json(spark: SparkSession, root: str, name: str, source: TextIO, **kwa
     return made
 
 
+def import_file(spark: SparkSession, root: str, name: str, path: str, **kwargs) -> Collection:
+    """A collection from a file that export_json wrote, read in parallel: its first line has
+    the options, each line between the first and the last a record. A JSON document of any
+    other shape goes through import_json, on the driver."""
+    head, tail = '{"collection":', ',"records":['
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None or not (first.value.startswith(head) and first.value.endswith(tail)):
+        files = Files(spark, path)
+        return import_json(spark, root, name, io.StringIO(files.read("")), **kwargs)
+    found = json.loads(first.value.removeprefix(head).removesuffix(tail))
+    rows = lines.where(~F.col("value").startswith(head) & ~F.trim("value").isin("]}", "", ",")).select(F.ltrim("value").alias("value"))
+    rows = rows.select(F.from_json(F.regexp_replace("value", ",$", ""), RECORD, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return _loaded(spark, root, _options(found, name), rows, **kwargs)
+
+
 def import_folder(spark: SparkSession, root: str, name: str, path: str, **kwargs) -> Collection:
     """A collection from what export_folder wrote, read in parallel."""
     found = json.loads(spark.read.text(f"{path}/collection").first()[0])
     return _loaded(spark, root, _options(found, name), spark.read.schema(RECORD).json(f"{path}/records"), **kwargs)
 
 
-def load_csv(collection: Collection, path: str, text_column: int, metadata_columns: dict[str, int] | None = None, header: bool = False) -> int:
-    """Rows of a CSV file whose text is embedded. Ids are numbers after the largest in the
-    collection, by the order of hash, so a second load adds."""
-    rows = collection.spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+def load_csv(collection: Collection, path: str, text_column: int, metadata_columns: dict[str, int] | None = None, header: bool = False, resume: bool = False, multi_line: bool = True) -> int:
+    """Rows of a CSV file whose text is embedded; how many were loaded.
+
+    Ids follow on the largest in the collection, in the order of the file; rows without text
+    have none. With ``resume`` ids are the numbers of rows, and as many rows are passed over
+    as the collection has documents, so that a load that broke off goes on. With
+    ``multi_line`` fields may have line breaks, for which a file is read by one task.
+    """
+    spark = collection.spark
+    rows = spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"').csv(path)
     names = rows.columns
     text = F.col(f"`{names[text_column]}`")
     meta = F.to_json(F.struct(*(F.col(f"`{names[i]}`").alias(n) for n, i in (metadata_columns or {"text": text_column}).items())))
-    start = (collection.frame().agg(F.max("id")).first()[0] or -1) + 1 if len(collection) else 0
-    new = rows.where(text.isNotNull()).select((F.monotonically_increasing_id() + start).alias("id"), text.alias("text"), meta.alias("metadata"))
-    count = new.count()
-    collection.upsert(new)
-    return count
+    there = len(collection)
+    start = 0 if resume else (collection.frame().agg(F.max("id")).first()[0] + 1 if there else 0)
+    # numbers within partitions, which follow one another as the file does, and what comes before each
+    numbered = rows.where(text.isNotNull()).select(F.monotonically_increasing_id().alias("_n"), text.alias("text"), meta.alias("metadata"))
+    part = F.shiftright("_n", 33)
+    counts = sorted((r.p, r.n) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = {}, 0
+    for p, n in counts:
+        before[p], total = total, total + n
+    if not counts:
+        return 0
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), part)
+    number = offset + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    new = numbered.select((number + start).alias("id"), "text", "metadata")
+    skipped = min(there, total) if resume else 0
+    if total > skipped:
+        collection.upsert(new.where(F.col("id") >= skipped) if resume else new)
+    return total - skipped
 
 
 def batches(rows: Iterable, size: int = 100) -> Iterator[list]:
