@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..collection import Collection
-from ..embed import LetterEmbedder, embedded
+from .. import service
+from ..collection import MODES, Collection, CollectionOptions
+from ..embed import LetterEmbedder, QueryEmbedder, embedded
 from ..engine import Engine
-from ..filters import NativeSource, VariantSource, compile_filter, parse
+from ..filters import NativeSource, VariantSource, bind, compile_filter, parse
 from ..functions import quantization, vectors
 from ..operators import records, search
-from ..sources import exchange
+from ..sources import exchange, spans
 from ..sources.exchange import vector_text
 from ..sources.files import table_path
 
@@ -565,3 +566,104 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("checksum", "SELECT doc_id, md5(text) AS checksum FROM documents")
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("checksum"))
+
+
+# --- opening, files, requests, texts ------------------------------------------------------------
+
+
+@register("open_modes", """SELECT mode, absent, present FROM (VALUES ('create_if_not_exists', 'made', 'kept'), ('read_write', 'KeyError', 'kept'),
+    ('read_only', 'KeyError', 'PermissionError'), ('create_and_overwrite', 'made', 'emptied')) t(mode, absent, present)""")
+def open_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mode does where there is no collection, and where there is one with a record."""
+    root, rows = table_path(spark, "engine"), []
+    for mode in MODES:
+        options = CollectionOptions(f"c_{mode}", "euclidean", 2)
+        outcome = []
+        try:
+            outcome.append("made" if len(Collection.open(spark, root, options, mode)) == 0 else "?")
+        except KeyError:
+            outcome.append("KeyError")
+            Collection.open(spark, root, options)
+        Collection.open(spark, root, options).upsert([(1, [1, 2], None)])
+        again = Collection.open(spark, root, options, mode)
+        try:
+            again.remove([2])
+            outcome.append("kept" if len(again) == 1 else "emptied")
+        except PermissionError:
+            outcome.append("PermissionError")
+        rows.append((mode, *outcome))
+    return spark.createDataFrame(rows, "mode string, absent string, present string")
+
+
+@register("stored_files", f"SELECT count(*) AS records, true AS sized FROM {E}")
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "cosine").stored_files().agg(F.sum("records").alias("records"), F.bool_and(F.col("bytes") > 0).alias("sized"))
+
+
+@register("csv_load", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS id, n_name AS text, n_regionkey::VARCHAR AS region FROM nation")
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "csv")
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").coalesce(1).write.csv(path)
+    made = Engine(spark, table_path(spark, "engine")).create_collection("nations", 16)
+    exchange.load_csv(made, path, 1, {"text": 1, "region": 2})
+    return made.frame().select("id", F.get_json_object("metadata", "$.text").alias("text"), F.get_json_object("metadata", "$.region").alias("region"))
+
+
+@register("span_files", "SELECT n_nationkey::BIGINT AS id, '{\"name\":\"' || n_name || '\"}' AS metadata, [n_nationkey / 64.0::DOUBLE, n_regionkey / -8.0::DOUBLE] AS vector FROM nation WHERE n_nationkey <> 3")
+def span_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as a span file, one of them twice and one taken out, and imported."""
+    path, root = table_path(spark, "spans"), table_path(spark, "engine")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    data = spans.write_span("", {0: json.dumps({"name": "n", "distance_method": 0, "dimension_count": 2, "quantization": 64}).encode()}, 0)
+    for n, r in enumerate(rows):
+        packed = quantization.pack([r.n_nationkey / 64, r.n_regionkey / -8], 64)
+        if r.n_nationkey == 5:
+            data += spans.write_span("5", {0: b"old", 1: packed}, 1)
+        meta = json.dumps({"name": r.n_name}, separators=(",", ":")).encode()
+        data += spans.write_span(str(r.n_nationkey), {0: meta, 1: packed}, 10 + n, n % 4, spans.FREE if r.n_nationkey == 3 else spans.ACTIVE)
+    spans.write_file(path, data)
+    return spans.import_spans(spark, root, "nations", path).frame().select("id", "metadata", "vector")
+
+
+@register("request_search", f"SELECT id, label, round({DISTANCE['cosine']}, 6) AS distance FROM {EQ} WHERE label > 2 ORDER BY {DISTANCE['cosine']}, id LIMIT 7")
+def request_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search as the service is asked for it."""
+    kept = stored(spark, sf_dir, "cosine")
+    body = json.dumps({"vector": query_vector(spark, sf_dir), "k": 7, "filter": "label > 2"}).encode()
+    status, found = service.handle(Engine(spark, kept.path.rpartition("/")[0]), "POST", f"/api/v1/collections/{kept.options.name}/search", body)
+    assert status == 200, found
+    return spark.createDataFrame([(r["id"], int(r["metadata"]["label"]), r["distance"]) for r in found["results"]], "id long, label long, distance double").select("id", "label", six(F.col("distance")).alias("distance"))
+
+
+@register("filter_bound", "SELECT doc_id FROM documents WHERE n_chars >= 700 AND lang <> 'fr'")
+def filter_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = bind(parse("n_chars >= :least AND NOT (lang == :not)"), {"least": 700, "not": "fr"})
+    return documents(spark, sf_dir).where(compile_filter(node, VariantSource(F.col("m")))).select("doc_id")
+
+
+_PRINTED = {
+    "age >= 18 AND status == 'active'": "AND(>=(age, 18), ==(status, 'active'))",
+    "NOT (a.b[0] != 1.5) OR name IN ['x', 2]": "OR(NOT(!=([](.(a, b), 0), 1.5)), IN(name, ['x', 2]))",
+}
+
+
+@register("filter_printed", "SELECT text, printed FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in _PRINTED.items()) + ") t(text, printed)")
+def filter_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t, str(parse(t))) for t in _PRINTED], "text string, printed string")
+
+
+@register("embedding_cache", "SELECT 3::BIGINT AS asked, 2::BIGINT AS embedded, 100::BIGINT AS remembered, 26::BIGINT AS dimensions")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document's text is asked for twice, the second's once."""
+    texts = [r.text for r in table(spark, sf_dir, "documents").orderBy("doc_id").limit(2).collect()]
+    embed = QueryEmbedder(LetterEmbedder())
+    found = [embed(t) for t in (texts[0], texts[0], texts[1] + "?")]
+    info = embed.cache_info()
+    return spark.createDataFrame([(info.hits + info.misses, info.misses, info.maxsize, len(found[0]))], "asked long, embedded long, remembered long, dimensions long")
+
+
+@register("random_unit", "SELECT d AS dimensions, true AS unit, true AS seeded FROM (VALUES (1), (3), (64)) t(d)")
+def random_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draw = lambda d: vectors.random_unit(d, np.random.default_rng(d)).tolist()
+    frame = spark.createDataFrame([(d, draw(d), draw(d) == draw(d)) for d in (1, 3, 64)], "dimensions int, v array<double>, seeded boolean")
+    return frame.select("dimensions", (F.abs(vectors.norm(F.col("v")) - 1) < 1e-12).alias("unit"), "seeded")

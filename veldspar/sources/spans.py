@@ -61,6 +61,12 @@ def write_span(record_id: str, streams: dict[int, bytes], sequence: int, padding
     return head + struct.pack(">I", zlib.crc32(head))
 
 
+def write_file(uri: str, data: bytes) -> None:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(data)
+
+
 def read_span(data: bytes) -> tuple[str, int, dict[int, bytes]]:
     """(id, sequence, streams) of an active span; ValueError if it isn't as it should be."""
     if struct.unpack(">I", data[-4:])[0] != zlib.crc32(data[:-4]):
