@@ -16,7 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.llm import decontaminate, langid, mixing, sharding, simhash
-from veldspar.llm.common import materialise
+from veldspar.llm.common import scratch, written
+from veldspar.sources.files import Files, table_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents in ``sf_dir``. A stage's intermediate tables go once it is
+    written, and so does what it read, the documents themselves apart."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = table_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            Files(spark, before).delete()
+        before = path
     return docs

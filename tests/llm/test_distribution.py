@@ -172,7 +172,19 @@ def test_mixed_rows(odd, empty):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    path = common.table_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/x-")
+
+
+def test_scratch_tables_go(spark):
+    kept = common.materialise(spark.range(5), "kept")
+    with common.scratch(spark):
+        inner = common.materialise(spark.range(7), "inner")
+        last = common.written(inner, common.files.table_path(spark, "last"))
+        assert inner.count() == 7
+    folder = common.files.Files(spark, common.files.shared_dir(spark))
+    names = {n.partition("-")[0] for n in folder.names()}
+    assert kept.count() == 5 and last.count() == 7 and "inner" not in names and {"kept", "last"} <= names
 
 
 @pytest.mark.parametrize("table", ["odd", "empty"])

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 WORD = re.compile(r"\w+")
 
 #: Distinct words a worker remembers before it starts its table anew.
@@ -70,33 +71,39 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return whole
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
-
-    Only a local master may go without the setting: it then gets a folder of its own.
-    """
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError(f"set {key} to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="veldspar-")
-    spark.conf.set(key, made)
-    return made
+#: Paths made since the innermost ``scratch`` began.
+_MADE: list[list[str]] = []
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    path = files.table_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder within goes when it ends: for intermediate tables
+    of a result that is written already."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            files.Files(spark, path).delete()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and a
     lost executor costs nothing that was computed before."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
+    return written(df, table_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
