@@ -85,16 +85,45 @@ def test_pairs_of_large_and_small_keys_connect_the_same(monkeypatch, wide):
     assert got.tolist() == simhash._labels(160, x, y).tolist()
 
 
-def test_near_duplicates_against_brute_force(corpus, odd):
-    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(odd).collect()}
+def links_by_force(prints, groups, limit):
+    bits = {i: int.from_bytes(prints[i], "big") for i in groups}
+    return {i: sum(groups[i] == groups[o] and i != o and (bits[i] ^ bits[o]).bit_count() <= limit for o in groups) for i in groups}
+
+
+@pytest.mark.parametrize("block", [simhash.LINK_BLOCK, 2])
+def test_near_duplicates_against_brute_force(corpus, odd, monkeypatch, block):
+    monkeypatch.setattr(simhash, "LINK_BLOCK", block)
+    rows = simhash.near_duplicates(odd).collect()
+    got = {r.doc_id: r.keep_id for r in rows}
     prints = {i: f for i, t in corpus if (f := simhash.fingerprint(t)) is not None}
     wanted = groups_by_force(prints, simhash.MAX_DISTANCE)
-    assert got == wanted
+    assert got == wanted and len(rows) == len(got)
+    assert {r.doc_id: r.links for r in rows} == links_by_force(prints, wanted, simhash.MAX_DISTANCE)
     for i in range(10):
         assert got[i] == got[100 + i] == i and got[20 + i] == got[200 + i] == 20 + i
     assert got[401] == got[403] == 401 and 400 not in got and 402 not in got and not {300, 301, 404, 405, 406} & got.keys()
 
 
+def test_links_of_a_large_group(spark, monkeypatch):
+    """Copies of a text, some of them changed a little: blocks of any size count the same."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = {}
+    for i in range(90):
+        changed = list(words)
+        for _ in range(i % 4 * 4):
+            changed[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(changed)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    groups = groups_by_force(prints, simhash.MAX_DISTANCE)
+    wanted = links_by_force(prints, groups, simhash.MAX_DISTANCE)
+    assert len(set(wanted.values())) > 2
+    for block in (4096, 13, 5):
+        monkeypatch.setattr(simhash, "LINK_BLOCK", block)
+        assert {r.doc_id: (r.keep_id, r.links) for r in simhash.near_duplicates(docs).collect()} == {i: (groups[i], wanted[i]) for i in groups}
+
+
 def test_filter_keeps_one_of_each_group(odd):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns

@@ -326,23 +326,81 @@ def near_edges(reps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_verifier(max_distance, split), "u long, v long")
 
 
+#: Fingerprints of a group that a task compares with each other at once; rows of one part of such blocks, about.
+LINK_BLOCK, LINK_ROWS = 4096, 100_000
+
+
+def _near_counts(a: np.ndarray, b: np.ndarray, weights_a: np.ndarray, weights_b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a the weights of the rows of b near it, and the other way round."""
+    of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    for at in range(0, len(a), 256):
+        near = _near(a[at : at + 256, None], b[None], limit)
+        of_a[at : at + 256] = near @ weights_b
+        of_b += weights_a[at : at + 256] @ near
+    return of_a, of_b
+
+
+def _link_counter(limit: int):
+    def count(table: pa.Table) -> pa.Table:
+        group, i, j, own, reps, n = (np.asarray(table.column(c)) for c in ("keep_id", "i", "j", "block", "rep", "n"))
+        words = np.zeros((len(reps), _WORDS * 8), np.uint8)
+        words[:, :_BYTES] = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(reps), -1)[:, :_BYTES]
+        words, links = words.view(np.uint64), np.zeros(len(reps), np.int64)
+        order = np.lexsort((own, j, i, group))
+        keys = np.stack([group, i, j])[:, order]
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for rows in np.split(order, cuts):
+            if i[rows[0]] == j[rows[0]]:
+                links[rows] = _near_counts(words[rows], words[rows], n[rows], n[rows], limit)[0] - n[rows]
+            else:
+                left, right = rows[own[rows] == i[rows]], rows[own[rows] == j[rows]]
+                links[left], links[right] = _near_counts(words[left], words[right], n[left], n[right], limit)
+        return pa.table({"rep": pa.array(reps, pa.int64()), "links": pa.array(links)})
+
+    return count
+
+
+def _links(classes: DataFrame, max_distance: int) -> DataFrame:
+    """(rep, links): of each fingerprint of a group how many documents have another one of it
+    that is near. A group's fingerprints are dealt to blocks by hash, and each pair of
+    blocks is a piece of work of its own, so no task has a whole group; counts leave it,
+    never pairs."""
+    sizes = classes.groupBy("keep_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / LINK_BLOCK))
+    sizes = materialise(sizes, "group-sizes")
+    rows = sizes.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
+    parts = max(partitions(classes.sparkSession), -(-rows // LINK_ROWS))
+    own = classes.join(sizes, "keep_id").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("keep_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "fp")
+    parted = pairs.withColumn("part", F.pmod(F.xxhash64("keep_id", "i", "j"), F.lit(parts)))
+    return parted.groupBy("part").applyInArrow(_link_counter(max_distance), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def _classes(docs: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all documents, and (fp, rep, n, keep_id) of the fingerprints that are in a
+    group: the smallest doc_id that has it, how many have it, and the group's smallest."""
+    prints = materialise(fingerprints(docs).groupBy("doc_id").agg(F.min("fp").alias("fp")), "fingerprints")
+    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "representatives")
+    joined = components(near_edges(reps.select(F.col("rep").alias("doc_id"), "fp"), max_distance))
+    labels = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    found = reps.join(labels, F.col("rep") == F.col("node"), "left").where("root IS NOT NULL OR n > 1")
+    return prints, materialise(found.select("fp", "rep", "n", F.coalesce("root", "rep").alias("keep_id")), "classes")
+
+
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, keep_id) for each document in a group of two or more near copies.
+    """(doc_id, keep_id, links) for each document in a group of two or more near copies.
 
     keep_id is the group's smallest doc_id; its own row has keep_id = doc_id. Near
     means that the fingerprints differ in ``max_distance`` bits at most; groups are
-    the connected components of that relation. Words count once each, those of more than
+    the connected components of that relation, and links is how many other documents of
+    the group are near to this one. Words count once each, those of more than
     40 characters by their 5-grams. Documents without an id, with null
     text or without a single word belong to no group. Rows that repeat a doc_id are
     one document; of different texts the least fingerprint counts. Ties can't arise: ids order everything. No rows in, no rows out.
     Columns other than doc_id and text are not looked at.
     """
-    prints = materialise(fingerprints(docs).groupBy("doc_id").agg(F.min("fp").alias("fp")), "fingerprints")
-    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    same = prints.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    near = near_edges(reps.select(F.col("rep").alias("doc_id"), "fp"), max_distance)
-    joined = components(same.unionByName(near))
-    return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id")).unionByName(joined.select(F.col("root").alias("doc_id"), F.col("root").alias("keep_id")).distinct())
+    prints, classes = _classes(docs, max_distance)
+    counted = classes.join(_links(classes, max_distance), "rep", "left").select("fp", "keep_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return prints.join(counted, "fp").select("doc_id", "keep_id", "links")
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -351,6 +409,7 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> D
     All columns stay as they are. Rows that share a doc_id are one document and stay
     or go together; rows without an id or without words stay.
     """
-    gone = near_duplicates(docs, max_distance).where("doc_id <> keep_id").select(F.col("doc_id").alias("_gone"))
+    prints, classes = _classes(docs, max_distance)
+    gone = prints.join(classes, "fp").where("doc_id <> keep_id").select(F.col("doc_id").alias("_gone"))
     gone = materialise(gone, "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
