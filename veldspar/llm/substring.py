@@ -345,11 +345,14 @@ def recurring_runs(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     """
     texts = keyed_texts(docs)
     seeds = materialise(texts.mapInArrow(_seeder(min_words, seed_words), "h long, doc_id long"), "seeds")
-    recurring = seeds.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
+    # a seed or window may be in a third of all documents: counted by map-side aggregates, written, and joined anew, as
+    # adaptive execution splits the hot partitions of a join only where both sides are read and shuffled for it
+    recurring = materialise(seeds.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h"), "recurring")
     hits = materialise(seeds.join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")), "hits")
     windows = texts.join(hits.hint("shuffle_hash"), "doc_id").mapInArrow(_windower(min_words, seed_words), "w long, doc_id long, words int")
-    windows = windows.withColumn("ref_id", F.min("doc_id").over(Window.partitionBy("w")))
-    pairs = materialise(windows.where("doc_id <> ref_id").groupBy("doc_id", "ref_id").agg(F.max("words").alias("words")), "pairs")
+    windows = materialise(windows, "windows")
+    refs = materialise(windows.groupBy("w").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("last")).where("ref_id < last").select("w", "ref_id"), "references")
+    pairs = materialise(windows.join(refs, "w").where("doc_id <> ref_id").groupBy("doc_id", "ref_id").agg(F.max("words").alias("words")), "pairs")
     load = materialise(pairs.groupBy("ref_id").agg(F.sum("words").alias("n")), "loads")
     total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
