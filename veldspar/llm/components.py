@@ -19,16 +19,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node to the smallest neighbour it knows, first upwards
     and then downwards, and its edges go to a table in the shared folder. The rounds
     needed grow with the logarithm of a component's size. Minima are map-side
-    aggregates, so a node with very many neighbours is no hot spot there, and the
-    join that follows is one that adaptive execution can split.
+    aggregates, so a node with very many neighbours is no hot spot there. They are
+    written before they are joined: adaptive execution splits the hot partitions of a
+    join only where both sides are read and shuffled for it.
     """
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     before = _signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "upward")
+        down = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
