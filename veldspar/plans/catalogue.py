@@ -119,6 +119,21 @@ def fresh(spark: SparkSession, sf_dir: str, method: str, bits: int = 64, changed
 # --- search --------------------------------------------------------------------------
 
 
+def held_to_exact(kept: Collection, k: int = 10) -> DataFrame:
+    """(queries, filled, recalled, saved): approximate batch search of the collection's vectors whose
+    id 20 divides against the exact one."""
+    queries = kept.frame().where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    near, true = kept.search_batch_approximate(queries, k), kept.search_batch(queries, k).select("query_id", "id", F.lit(1).alias("hit"))
+    by_query = near.join(true, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"), F.max("searched").alias("searched"))
+    total = len(kept)
+    return by_query.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.bool_and(F.col("n") == min(k, total)).alias("filled"),
+        (F.sum("hits") >= 0.9 * F.sum("n")).alias("recalled"),
+        (F.avg("searched") <= 0.5 * total).alias("saved"),
+    )
+
+
 def _search_queries(method: str) -> None:
     d = f"SELECT id, round({DISTANCE[method]}, 6) AS distance FROM {EQ}"
     r = RADIUS[method]
@@ -155,18 +170,15 @@ def _search_queries(method: str) -> None:
     def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Approximate against exact search, for every vector whose id 20 divides: whether there
         are ten rows for each query, nine in ten of the true ones, and half measured at most."""
-        kept = stored(spark, sf_dir, method)
-        frame = kept.frame()
-        queries = frame.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
-        near, true = kept.search_batch_approximate(queries, 10), kept.search_batch(queries, 10).select("query_id", "id", F.lit(1).alias("hit"))
-        by_query = near.join(true, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"), F.max("searched").alias("searched"))
-        total = len(kept)
-        return by_query.agg(
-            F.count(F.lit(1)).alias("queries"),
-            F.bool_and(F.col("n") == min(10, total)).alias("filled"),
-            (F.sum("hits") >= 0.9 * F.sum("n")).alias("recalled"),
-            (F.avg("searched") <= 0.5 * total).alias("saved"),
-        )
+        return held_to_exact(stored(spark, sf_dir, method))
+
+    @register(f"lsh_after_changes_{method}", f"SELECT count(*) AS queries, true AS filled, true AS recalled, true AS saved FROM {E}, (VALUES (0), (1000000)) t(x) WHERE label <> 7 AND (label = 3 OR x = 0) AND (id + x) % 20 = 0")
+    def after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same once records were put in, replaced and removed, which keep their sketches up."""
+        kept, frame = fresh(spark, sf_dir, method), embeddings(spark, sf_dir)
+        kept.upsert(_updates(frame))
+        kept.remove(frame.where("label = 7").select("id"))
+        return held_to_exact(kept)
 
     @register(f"avg_pairwise_distance_{method}", f"SELECT round(avg({DISTANCE[method]}), 6) AS average_distance FROM (SELECT a.v, b.v AS q FROM {E} a JOIN {E} b ON a.id < b.id)")
     def average(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,12 +189,12 @@ def _search_queries(method: str) -> None:
         f"""SELECT query_id, id, distance, rank FROM (
               SELECT b.id AS query_id, a.id, round({DISTANCE[method]}, 6) AS distance,
                      row_number() OVER (PARTITION BY b.id ORDER BY {DISTANCE[method]}, a.id)::INT AS rank
-              FROM (SELECT a.id AS aid, b.id AS bid, a.v, b.v AS q FROM {E} a, {E} b WHERE b.label = 0) p
+              FROM (SELECT a.id AS aid, b.id AS bid, a.v, b.v AS q FROM {E} a, {E} b WHERE b.id % 20 = 0) p
               JOIN {E} a ON a.id = aid JOIN {E} b ON b.id = bid) WHERE rank <= 5""".replace("list_distance(v, q)", "list_distance(p.v, p.q)").replace("similarity(v, q)", "similarity(p.v, p.q)"),
     )
     def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = embeddings(spark, sf_dir)
-        queries = frame.where("label = 0").select(F.col("id").alias("query_id"), "vector")
+        queries = frame.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
         found = search.nearest_batch(frame, queries, 5, method)
         return found.select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
 
