@@ -7,6 +7,7 @@ import random
 import threading
 import uuid
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,17 @@ def test_export_import(engine, tmp_path, precision):
     assert same(exchange.import_folder(engine.spark, engine.config.data_folder, "back2", folder)) == same(c)
 
 
+#: Halves in binary, decimals that only look like halves, and numbers that a shortest text hides.
+HALVES = [9 / 128, -9 / 128, 3 / 128, 1 / 128, 0.1234565, -0.1234575, 5e-7, 2.0**33 + 1 / 128, 1e23, -1e-9, -0.0, 0.9999995]
+
+
+def test_decimals_are_those_of_sql(spark):
+    shown = duckdb.sql(f"SELECT '[' || array_to_string(list_transform({[str(x) for x in HALVES]}::DOUBLE[], lambda x: printf('%.6f', x)), ',') || ']'").limit(1).fetchall()[0][0]
+    frame = spark.createDataFrame([(1, HALVES), (2, None), (3, [None, float("nan"), float("-inf")]), (4, [])], "id long, v array<double>")
+    got = {r.id: r.t for r in frame.select("id", exchange.vector_text(F.col("v")).alias("t")).collect()}
+    assert got == {1: shown, 2: None, 3: "[null,NaN,-Infinity]", 4: "[]"} and shown.startswith("[0.070312,-0.070312,0.023438,0.007812,")
+
+
 def test_import_errors(engine):
     for bad in ('{"records": [], "collection": {}}', '{"collection": {}, "more": 1}', '{"records": []}', "[]"):
         with pytest.raises(ValueError):

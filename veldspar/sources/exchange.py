@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterable, Iterator
 from typing import TextIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,21 @@ RECORD = "id long, vector array<double>, metadata variant"
 
 
 def vector_text(v: Column, precision: int | None = 6) -> Column:
-    """A vector as JSON text, with so many decimals, or with all there are (None)."""
-    shown = F.transform(doubles(v), lambda x: F.format_string(f"%.{precision}f", x) if precision is not None else x.cast("string"))
-    return F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]"))
+    """A vector as JSON text, with so many decimals, or with all there are (None). What is
+    rounded is the double itself, and half goes to even, as in C and SQL; format_string
+    would round the shortest decimals that denote it, and half up."""
+    if precision is None:
+        return F.concat(F.lit("["), F.array_join(F.transform(doubles(v), lambda x: x.cast("string")), ","), F.lit("]"))
+    odd = {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}
+
+    def shown(x: float | None) -> str:
+        text = "null" if x is None else f"{x:.{precision}f}"
+        return odd.get(text, text)
+
+    def texts(column: pa.Array) -> pa.Array:
+        return pa.array([None if found is None else f"[{','.join(map(shown, found))}]" for found in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(texts, "string")(doubles(v))
 
 
 def export_lines(frame: DataFrame, precision: int | None = 6) -> DataFrame:
