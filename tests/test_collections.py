@@ -206,6 +206,15 @@ def test_decimals_are_those_of_sql(spark):
     assert got == {1: shown, 2: None, 3: "[null,NaN,-Infinity]", 4: "[]"} and shown.startswith("[0.070312,-0.070312,0.023438,0.007812,")
 
 
+def test_decimals_of_sql_come_back(engine, tmp_path):
+    c, folder = engine.create_collection("h", len(HALVES)), str(tmp_path / "out")
+    c.upsert([(1, HALVES, None)])
+    exchange.export_folder(c, folder)
+    back = exchange.import_folder(engine.spark, engine.config.data_folder, "back", folder)
+    (wanted,) = duckdb.sql(f"SELECT list_transform({[str(x) for x in HALVES]}::DOUBLE[], lambda x: printf('%.6f', x)::DOUBLE)").limit(1).fetchall()[0]
+    assert back.get(1).vector == wanted and wanted[0] == 0.070312
+
+
 def test_import_errors(engine):
     for bad in ('{"records": [], "collection": {}}', '{"collection": {}, "more": 1}', '{"records": []}', "[]"):
         with pytest.raises(ValueError):
