@@ -155,6 +155,41 @@ def test_mean_of_all_pairs(cloud, monkeypatch, limit):
     assert records.mean_pair_distance(frame.where("id = 1"), "cosine").first()[0] == 0 == records.mean_pair_distance(frame.where("false"), "cosine").first()[0]
 
 
+@pytest.mark.parametrize("method", V.METHODS)
+def test_pairs_are_measured_once(spark, cloud, monkeypatch, method):
+    """Slices meet themselves and those before them: little more than half of the distances."""
+    monkeypatch.setattr(search, "QUERY_BYTES", 2000)
+    data, frame = cloud
+    measured, multiplied, sums = 0, V.multiplied_distances, []
+
+    def counted(left, right, method):
+        nonlocal measured
+        measured += len(left) * len(right)
+        return multiplied(left, right, method)
+
+    monkeypatch.setattr(V, "multiplied_distances", counted)
+    for s, slices, ids, matrix in search.query_slices(frame.withColumnRenamed("id", "query_id")):
+        rows = frame.select("id", "vector", search.slice_number(F.col("id"), slices).alias("slice")).toArrow()
+        sums += [b.to_pylist()[0] for b in records._pair_sums(s, ids, matrix, method)(rows.to_batches())]
+    assert sum(x["n"] for x in sums) == 300 * 299 // 2 and measured < 0.6 * 300 * 300
+    assert sum(x["total"] for x in sums) == pytest.approx(V.distances(data, data, method)[np.triu_indices(300, 1)].sum(), rel=1e-9)
+
+
+def test_one_file_is_dealt_to_all_tasks(spark, monkeypatch):
+    """Of a table in one partition, that many slices pass over, each task has a share."""
+    monkeypatch.setattr(search, "QUERY_BYTES", 50_000)
+    frame = spark.range(20_000, numPartitions=1).select("id", F.array(F.rand(1), F.rand(2)).alias("vector")).localCheckpoint()
+    plan = records.mean_pair_distance(frame, "cosine")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "REPARTITION_BY_NUM" in plan
+    assert records.mean_pair_distance(frame, "cosine").first()[0] == pytest.approx(records.mean_pair_distance(frame.repartition(3), "cosine").first()[0])
+
+
+def test_vectors_must_be_there(spark):
+    for bad in ([(1, [1.0, 2.0]), (2, None)], [(1, [1.0, 2.0]), (2, [1.0])]):
+        with pytest.raises(ValueError):
+            records.mean_pair_distance(spark.createDataFrame(bad, "id long, vector array<double>"), "cosine").collect()
+
+
 def test_record_operators(spark):
     old = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b"), (3, [3.0], None)], "id long, vector array<double>, metadata string")
     new = spark.createDataFrame([(2, [9.0], "n"), (4, [4.0], "d")], old.schema)

@@ -113,8 +113,35 @@ def rough_distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> tu
     return np.where(scale == 0, 1.0, -product / np.where(scale == 0, 1.0, scale)), 1e-12
 
 
-def block_distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> np.ndarray:
-    """distances() by one product: as exact as rounding of squares allows."""
+def pair_distances(a: np.ndarray, b: np.ndarray, method: str) -> np.ndarray:
+    """Distance of each row of one to the same row of the other. Equal rows have equal distances."""
     if method == "euclidean":
-        return np.sqrt(np.maximum(rough_distances(vectors, queries, method)[0], 0.0))
-    return distances(vectors, queries, method)
+        d = a - b
+        return np.sqrt(np.einsum("ij,ij->i", d, d))
+    scale = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+    safe = np.where(scale == 0, 1.0, scale)
+    return np.where(scale == 0, 1.0, np.arccos(np.clip(np.einsum("ij,ij->i", a, b) / safe, -1.0, 1.0)) / np.pi)
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, and the zero vector."""
+    n = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    return vectors / np.where(n == 0, 1.0, n)
+
+
+def factors(vectors: np.ndarray, method: str, right: bool = False) -> np.ndarray:
+    """What multiplied_distances() takes, of the vectors on either side."""
+    if method == "cosine":
+        return units(vectors)
+    squares, ones = np.einsum("ij,ij->i", vectors, vectors)[:, None], np.ones((len(vectors), 1))
+    return np.hstack([vectors, ones, squares] if right else [-2 * vectors, squares, ones])
+
+
+def multiplied_distances(left: np.ndarray, right: np.ndarray, method: str) -> np.ndarray:
+    """distances() by one product of factors: as exact as rounding of squares allows."""
+    product = left @ right.T
+    if method == "euclidean":
+        return np.sqrt(np.maximum(product, 0.0, out=product), out=product)
+    product[~left.any(axis=1)] = -1.0
+    product[:, ~right.any(axis=1)] = -1.0
+    return np.divide(np.arccos(np.clip(product, -1.0, 1.0, out=product), out=product), np.pi, out=product)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,31 +37,47 @@ def metadata_updated(existing: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumn("metadata", F.when(F.col("_has"), F.col("_new")).otherwise(F.col("metadata"))).drop("_new", "_has")
 
 
+#: Records that meet ``QUERY_BLOCK`` others in one product, which stays in a core's cache.
+TILE = 1024
+
+
+def _pair_sums(s: int, ids: np.ndarray, matrix: np.ndarray, method: str):
+    """The function that adds up what rows (id, vector, slice) of slices up to ``s`` measure
+    against this slice; of two records of one slice the smaller id counts as the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, right = 0.0, 0, vectors.factors(matrix, method, True)
+        for batch in batches:
+            row_ids, found = search.taken(batch)
+            number, left = np.asarray(batch.column(2)), vectors.factors(found, method)
+            for own, rows in ((False, np.flatnonzero(number < s)), (True, np.flatnonzero(number == s))):
+                for start in range(0, len(rows), TILE):
+                    tile, tile_ids = left[rows[start : start + TILE]], row_ids[rows[start : start + TILE]]
+                    for at in range(0, len(ids), search.QUERY_BLOCK):
+                        d = vectors.multiplied_distances(tile, right[at : at + search.QUERY_BLOCK], method)
+                        n += d.size
+                        if own:
+                            other = tile_ids[:, None] >= ids[None, at : at + search.QUERY_BLOCK]
+                            np.copyto(d, 0.0, where=other)
+                            n -= int(np.count_nonzero(other))
+                        total += float(d.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], ["total", "n"])
+
+    return run
+
+
 def mean_pair_distance(frame: DataFrame, method: str) -> DataFrame:
-    """(average_distance) over all pairs, 0 without any; it takes as many distances as there
-    are pairs, in products of blocks: one pass over the records for each slice of them."""
-
-    def sums(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = 0.0, 0
-            for batch in batches:
-                row_ids = np.asarray(batch.column(0))
-                found = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(row_ids), -1)
-                for at in range(0, len(ids), search.QUERY_BLOCK):
-                    later = row_ids[:, None] < ids[None, at : at + search.QUERY_BLOCK]
-                    total += float(vectors.block_distances(found, matrix[at : at + search.QUERY_BLOCK], method)[later].sum())
-                    n += int(later.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], ["total", "n"])
-
-        return run
-
-    rows, parts = frame.select("id", vectors.doubles("vector").alias("vector")), None
-    for ids, matrix in search.query_slices(rows.withColumnRenamed("id", "query_id")):
-        part = rows.mapInArrow(sums(ids, matrix), "total double, n long")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = frame.sparkSession.createDataFrame([], "total double, n long")
-    return parts.agg(F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("average_distance"))
+    """(average_distance) over all pairs, 0 without any. Each pair is measured once, in products
+    of tiles: a slice of the records meets itself and the slices before it."""
+    rows, parts = frame.select("id", vectors.doubles("vector").alias("vector")), []
+    for s, slices, ids, matrix in search.query_slices(rows.withColumnRenamed("id", "query_id")):
+        if not parts:
+            rows = search.spread(rows, slices, len(ids))
+        numbered = rows.withColumn("slice", search.slice_number(F.col("id"), slices))
+        parts.append(numbered.mapInArrow(_pair_sums(s, ids, matrix, method), "total double, n long"))
+    # the last slices have the most to meet, and start first
+    found = reduce(DataFrame.unionByName, reversed(parts)) if parts else frame.sparkSession.createDataFrame([], "total double, n long")
+    return found.agg(F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("average_distance"))
 
 
 def sampled_pair_distances(rows: DataFrame, pairs: int = 100, seed: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,9 @@ def ranked(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray,
 #: Queries that are measured against a batch of records at once, and bytes of query vectors that travel to every task.
 QUERY_BLOCK, QUERY_BYTES = 256, 16 << 20
 
+#: Rows that a task has at least where they are dealt to tasks for many passes.
+ROWS = 4096
+
 
 def _top(k: int, method: str):
     def for_queries(ids: np.ndarray, queries: np.ndarray):
@@ -84,16 +88,40 @@ def _top(k: int, method: str):
     return for_queries
 
 
-def query_slices(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of the queries (query_id, vector), up to ``QUERY_BYTES`` at a time."""
+def taken(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of rows (id, vector, ...), whose vectors must be there and of one length."""
+    ids, column = np.asarray(batch.column(0)), batch.column(1)
+    sizes = np.unique(pc.list_value_length(column).drop_null())
+    if column.null_count or len(sizes) > 1:
+        raise ValueError("vectors are missing or differ in length")
+    flat = pc.list_flatten(column)
+    return ids, np.asarray(flat, np.float64).reshape(len(ids), -1 if len(ids) else 0)
+
+
+def slice_number(ids: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(ids.cast("long")), F.lit(slices))
+
+
+def query_slices(queries: DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(number, slices, ids, vectors) of the queries (query_id, vector), up to ``QUERY_BYTES`` at
+    a time, by the slice_number() of their ids."""
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), vectors.doubles("vector").alias("vector"))
     size = queries.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("width")).first()
     slices = 1 if size.width * 8 <= QUERY_BYTES else min(size.n, -(-16 * size.width // max(1, QUERY_BYTES)))
     for s in range(slices):
-        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        rows = part.orderBy("query_id").collect()
-        if rows:
-            yield np.array([r.query_id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64)
+        part = queries if slices == 1 else queries.where(slice_number(F.col("query_id"), slices) == s)
+        ids, matrix = taken(part.toArrow())
+        if len(ids):
+            order = np.argsort(ids, kind="stable")
+            yield s, slices, ids[order], matrix[order]
+
+
+def spread(rows: DataFrame, slices: int, n: int) -> DataFrame:
+    """Rows that ``slices`` passes go over, dealt by id to as many tasks as run at once, however
+    few files or row groups they are in. All passes read one shuffle; a single one needs none.
+    ``n``: how many queries there are in a slice, about."""
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, slices * n // ROWS)
+    return rows.repartition(tasks, "id") if slices > 1 and tasks > 1 else rows
 
 
 def sliced(rows: DataFrame, queries: DataFrame, k: int, top, extra: str = "") -> DataFrame:
@@ -102,7 +130,9 @@ def sliced(rows: DataFrame, queries: DataFrame, k: int, top, extra: str = "") ->
     those with a negative id then go."""
     schema = "query_id long, id long, distance double" + (f", {extra}" if extra else "")
     found = None
-    for ids, matrix in query_slices(queries):
+    for _, slices, ids, matrix in query_slices(queries):
+        if found is None:
+            rows = spread(rows, slices, len(ids))
         part = rows.mapInArrow(top(ids, matrix), schema)
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
