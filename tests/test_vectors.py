@@ -1,6 +1,7 @@
 """Vector functions, quantisation and search against numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,47 @@ def test_mean_of_all_pairs(cloud, monkeypatch, limit):
     assert records.mean_pair_distance(frame.where("id = 1"), "cosine").first()[0] == 0 == records.mean_pair_distance(frame.where("false"), "cosine").first()[0]
 
 
+def _batches(data, ids, size):
+    rows = pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array(data.tolist(), pa.list_(pa.float64()))})
+    return rows.to_batches(max_chunksize=size)
+
+
+def _odd_clouds():
+    rng = np.random.default_rng(11)
+    cloud = rng.normal(size=(600, 8))
+    copies = cloud[rng.integers(0, 40, 600)]
+    zeros = cloud * (rng.random(600) < 0.7)[:, None]
+    return {"cloud": cloud, "copies": copies, "far off": cloud * 1e-3 + 1e4, "tiny": cloud * 1e-25, "huge": cloud * 1e25, "zeros": zeros, "one": np.ones((600, 8)), "mixed": cloud * 10.0 ** rng.integers(-20, 20, 600)[:, None]}
+
+
+@pytest.mark.parametrize("method", V.METHODS)
+@pytest.mark.parametrize("name", sorted(_odd_clouds()))
+def test_rough_products_lose_no_neighbour(name, method):
+    """Whatever the scale, the k nearest by measured distances, ties by id, in batches of any size."""
+    data, ids = _odd_clouds()[name], np.random.default_rng(12).permutation(600)
+    queries = data[:50]
+    for k, size in ((1, 600), (5, 100), (7, 3), (700, 250)):
+        (got,) = search._top(k, method)(ids[:50], queries)(iter(_batches(data, ids, size)))
+        got = [tuple(r.values()) for r in got.to_pylist()]
+        for j in range(50):
+            d = V.pair_distances(data, np.repeat(queries[j : j + 1], 600, axis=0), method)
+            order = np.lexsort((ids, d))[:k]
+            assert [x for x in got if x[0] == ids[j]] == [(ids[j], ids[i], d[i]) for i in order]
+    (none,) = search._top(0, method)(ids[:50], queries)(iter(_batches(data, ids, 600)))
+    assert none.num_rows == 0
+
+
+@pytest.mark.parametrize("method", V.METHODS)
+def test_few_pairs_are_measured(monkeypatch, method):
+    """Once a query has k rows, rough products leave few others to measure: before, k for each batch."""
+    rng, measured = np.random.default_rng(13), []
+    pairs = V.pair_distances
+    monkeypatch.setattr(V, "pair_distances", lambda a, b, method: measured.append(len(a)) or pairs(a, b, method))
+    data = rng.normal(size=(8000, 16))
+    (got,) = search._top(5, method)(np.arange(100), data[:100])(iter(_batches(data, np.arange(8000), 100)))
+    assert got.num_rows == 500 and 500 <= sum(measured) < 100 * 80 * 5 / 4
+
+
 @pytest.mark.parametrize("method", V.METHODS)
 def test_pairs_are_measured_once(spark, cloud, monkeypatch, method):
     """Slices meet themselves and those before them: little more than half of the distances."""

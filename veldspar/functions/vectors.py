@@ -102,17 +102,6 @@ def distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> np.ndarr
     return np.where(scale == 0, 1.0, np.arccos(np.clip(vectors @ queries.T / safe, -1.0, 1.0)) / np.pi)
 
 
-def rough_distances(vectors: np.ndarray, queries: np.ndarray, method: str) -> tuple[np.ndarray, float]:
-    """Numbers in the order of distances(), by one product, and how far rounding may have
-    moved them: squares of distances, or the negative cosine."""
-    product = vectors @ queries.T
-    a, b = np.einsum("ij,ij->i", vectors, vectors), np.einsum("ij,ij->i", queries, queries)
-    if method == "euclidean":
-        return a[:, None] + b[None, :] - 2 * product, 1e-12 * float(a.max(initial=0) + b.max(initial=0))
-    scale = np.sqrt(a)[:, None] * np.sqrt(b)[None, :]
-    return np.where(scale == 0, 1.0, -product / np.where(scale == 0, 1.0, scale)), 1e-12
-
-
 def pair_distances(a: np.ndarray, b: np.ndarray, method: str) -> np.ndarray:
     """Distance of each row of one to the same row of the other. Equal rows have equal distances."""
     if method == "euclidean":
@@ -145,3 +134,27 @@ def multiplied_distances(left: np.ndarray, right: np.ndarray, method: str) -> np
     product[~left.any(axis=1)] = -1.0
     product[:, ~right.any(axis=1)] = -1.0
     return np.divide(np.arccos(np.clip(product, -1.0, 1.0, out=product), out=product), np.pi, out=product)
+
+
+def rough_factors(vectors: np.ndarray, method: str, dtype: type, right: bool = False) -> np.ndarray:
+    """Factors of products that fall as distances() grow, in either precision. Euclidean, a
+    product is half the negative square of a distance, and never less by rounding: squares
+    are taken too small by more than rounding can do."""
+    with np.errstate(over="ignore"):
+        if method == "cosine":
+            return units(vectors).astype(dtype)
+        short = (_rounding(vectors, dtype) - 1) / 2 * np.einsum("ij,ij->i", vectors, vectors)[:, None]
+        ones = np.ones((len(vectors), 1))
+        return np.hstack([vectors, ones, short] if right else [vectors, short, ones]).astype(dtype)
+
+
+def rough_floor(limits: np.ndarray, vectors: np.ndarray, method: str, dtype: type) -> np.ndarray:
+    """What a rough product of the vectors is at least, where the distance is a limit at most."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        floor = np.cos(np.pi * limits) - _rounding(vectors, dtype) if method == "cosine" else -(limits**2) / 2 * (1 + 1e-14) - 100.0 * np.finfo(dtype).tiny
+        return np.nextafter(floor.astype(dtype), dtype(-np.inf))
+
+
+def _rounding(vectors: np.ndarray, dtype: type) -> float:
+    """Twice what rounding does at most to a product of such vectors, as a share of their squares."""
+    return 2.0 * (vectors.shape[1] + 8) * float(np.finfo(dtype).eps)

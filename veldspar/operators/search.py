@@ -7,6 +7,7 @@ A frame has (id long, vector array<double>, metadata string). Results are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,28 +59,73 @@ QUERY_BLOCK, QUERY_BYTES = 256, 16 << 20
 ROWS = 4096
 
 
+#: Rows among which each query's first limit is looked for; numbers of the pairs that are measured at once.
+FIRST, PAIRS = 2048, 1 << 19
+
+
+def _measured(rows: np.ndarray, i: np.ndarray, queries: np.ndarray, j: np.ndarray, method: str) -> np.ndarray:
+    """Distances of rows[i] to queries[j], in bounded memory."""
+    step = max(1, PAIRS // max(1, rows.shape[1]))
+    at = range(0, max(1, len(i)), step)
+    return np.concatenate([vectors.pair_distances(rows[i[a : a + step]], queries[j[a : a + step]], method) for a in at])
+
+
+def _first_limits(rows: np.ndarray, rough: np.ndarray, queries: np.ndarray, k: int, method: str) -> np.ndarray:
+    """Distances within which each query has k rows: those of rows that look near."""
+    if len(rows) < k:
+        return np.full(len(queries), np.inf)
+    some = rough[:, : max(FIRST, k)]
+    near = np.argpartition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k :]
+    return _measured(rows, near.ravel(), queries, np.repeat(np.arange(len(queries)), k), method).reshape(-1, k).max(axis=1)
+
+
+def _candidates(rows: np.ndarray, queries: np.ndarray, limits: np.ndarray | None, k: int, method: str, left, right) -> tuple[np.ndarray, np.ndarray]:
+    """(j, i) of the queries and the rows that can lie within the limits, by one product of short
+    floats, and of long ones where these leave too many. left, right: factors by precision."""
+    for dtype in (np.float32, np.float64):
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = right(dtype) @ left(dtype).T
+        if limits is None:
+            limits = _first_limits(rows, rough, queries, k, method)
+        found = np.flatnonzero(~(rough < vectors.rough_floor(limits, queries, method, dtype)[:, None]))
+        if len(found) <= max(rough.size // 32, 2 * k * len(queries)):
+            break
+    return np.divmod(found, len(rows))
+
+
 def _top(k: int, method: str):
     def for_queries(ids: np.ndarray, queries: np.ndarray):
         def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
-            for batch in batches:
-                row_ids = np.asarray(batch.column(0))
-                found = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(row_ids), -1)
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    block = queries[at : at + QUERY_BLOCK]
-                    rough, slack = vectors.rough_distances(found, block, method)
-                    for j in range(len(block)):
-                        near = rough[:, j]
-                        if len(near) > k:  # what rounding could have misplaced stays
-                            near = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + 2 * slack)
-                        else:
-                            near = np.arange(len(near))
-                        d = vectors.distances(found[near], block[j : j + 1], method)[:, 0]
-                        i, x = best[at + j]
-                        best[at + j] = ranked(np.r_[i, row_ids[near]], np.r_[x, d], k)
-            sizes = [len(i) for i, _ in best]
+            blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(ids), QUERY_BLOCK)]
+            # for each query of a block its nearest rows so far, of which all have as many
+            best = [(np.empty((len(ids[b]), 0), np.int64), np.empty((len(ids[b]), 0))) for b in blocks]
+            right = lru_cache(lambda dtype: vectors.rough_factors(queries, method, dtype, True))
+            for batch in batches if k > 0 else ():
+                row_ids, found = taken(batch)
+                if not len(row_ids):
+                    continue
+                left = lru_cache(lambda dtype, rows=found: vectors.rough_factors(rows, method, dtype))
+                for n, block in enumerate(blocks):
+                    have_ids, have = best[n]
+                    full = have.shape[1] == k
+                    j, i = _candidates(found, queries[block], have[:, -1] if full else None, k, method, left, lambda dtype, b=block: right(dtype)[b])
+                    d, i = _measured(found, i, queries[block], j, method), row_ids[i]
+                    if full:  # what comes after the last one goes
+                        keep = ~((d > have[j, -1]) | ((d == have[j, -1]) & (i > have_ids[j, -1])))
+                        j, i, d = j[keep], i[keep], d[keep]
+                    m = min(k, have.shape[1] + len(row_ids))
+                    at = np.repeat(np.arange(len(have)), have.shape[1])
+                    j, i, d = np.r_[at, j], np.r_[have_ids.ravel(), i], np.r_[have.ravel(), d]
+                    order = np.lexsort((i, d, j))
+                    starts = np.searchsorted(j[order], np.arange(len(have)))
+                    order = order[starts[:, None] + np.arange(m)]
+                    best[n] = i[order], d[order]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([x for _, x in best]))],
+                [
+                    pa.array(np.concatenate([np.repeat(ids[b], i.shape[1]) for b, (i, _) in zip(blocks, best)])),
+                    pa.array(np.concatenate([i.ravel() for i, _ in best])),
+                    pa.array(np.concatenate([d.ravel() for _, d in best])),
+                ],
                 ["query_id", "id", "distance"],
             )
 
@@ -148,7 +194,8 @@ def nearest_batch(frame: DataFrame, queries: DataFrame, k: int, method: str) ->
 
     Queries go to every task, up to ``QUERY_BYTES`` at a time: each such slice is one pass
     over the records, in which a task keeps k rows for each query while vectors stream
-    through products with ``QUERY_BLOCK`` queries. A shuffle moves these k rows. More
-    queries are more passes; records and queries never meet in a join.
+    through rough products with ``QUERY_BLOCK`` queries; only pairs that may be within the
+    k-th distance so far are measured. A shuffle moves the k rows. More queries are more
+    passes; records and queries never meet in a join.
     """
     return sliced(frame.select("id", "vector"), queries, k, _top(k, method))
